@@ -4,10 +4,10 @@ Texts are cut into words by the vocabulary's pattern inside the JVM. A word that
 token itself is looked up in the rank table, whose size is that of the vocabulary
 (50,256 rows, so its broadcast is bounded). Every other word is encoded once however
 often it occurs: its distinct words are folded by Spark's higher-order functions.
-The fold keeps the pieces of a word and the ranks of neighbouring pairs, and merges
-the leftmost pair of lowest rank until no pair has a rank. Ranks come from a literal
-in the plan: a two-choice hash table over the byte strings of all tokens, read by
-index, since a literal map would be searched from its start.
+The fold keeps the pieces of a word, ranks the neighbouring pairs and merges
+the leftmost pair of lowest rank until no pair has a rank. Ranks come from a constant
+of the plan: a two-choice hash table over the byte strings of all tokens, read by
+index, since a map would be searched from its start.
 
 Words of more than ``FOLD_BYTES`` bytes take steps in proportion to their square;
 those go through the library's own merge, which is exact too.
@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import base64
 import functools
-import json
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -62,8 +62,8 @@ def _places(token: bytes) -> tuple[int, int]:
 
 
 @functools.lru_cache(4)
-def _slots(path: str) -> str:
-    """JSON of a table in which each token stands at one of its two places."""
+def _slots(path: str) -> tuple[list[bytes | None], list[int | None]]:
+    """A table in which each token stands at one of its two places."""
     table: list[tuple[bytes, int] | None] = [None] * (1 << SLOT_BITS)
     for item in load_ranks(path).items():
         at, moves = _places(item[0])[0], 0
@@ -74,60 +74,66 @@ def _slots(path: str) -> str:
                 at, moves = second if at == first else first, moves + 1
                 if moves > 10_000:
                     raise ValueError("the vocabulary needs more slots")
-    return json.dumps([x and {"k": base64.b64encode(x[0]).decode(), "r": x[1]} for x in table], separators=(",", ":"))
+    return [x and x[0] for x in table], [x and x[1] for x in table]
+
+
+def rank_table(spark: SparkSession, path: str) -> Column:
+    """The slots as one constant, ``struct<k: array<binary>, r: array<int>>``.
+
+    A scalar subquery: it is evaluated once and sent to the tasks as a constant, but,
+    unlike a literal, it doesn't put a megabyte of text into every printed plan.
+    """
+    tokens, ranks = _slots(path)
+    rows = pa.table({"slot": pa.array(range(len(tokens)), pa.int32()), "k": pa.array(tokens, pa.binary()), "r": pa.array(ranks, pa.int32())})
+    slots = spark.createDataFrame(rows).agg(F.sort_array(F.collect_list(F.struct("slot", "k", "r"))).alias("s"))
+    return slots.select(F.struct(F.col("s.k").alias("k"), F.col("s.r").alias("r"))).scalar()
 
 
 class Ranks:
-    """The rank of a byte string as a Column, read from a literal table."""
+    """The rank of a byte string, read from the table at one of its two places."""
 
-    def __init__(self, path: str):
-        self.path = path
-        self.table = F.from_json(F.lit(_slots(path)), "array<struct<k:binary,r:int>>")
+    def __init__(self, table: Column):
+        self.tokens, self.ranks = table["k"], table["r"]
 
     def __call__(self, piece: Column) -> Column:
         mask = F.lit((1 << SLOT_BITS) - 1)
-        hashed = F.xxhash64(piece)
-        one = F.get(self.table, hashed.bitwiseAND(mask).cast("int"))
-        two = F.get(self.table, F.shiftright(hashed, 32).bitwiseAND(mask).cast("int"))
-        return F.when(one["k"] == piece, one["r"]).when(two["k"] == piece, two["r"])
 
+        def at(hashed: Column) -> Column:
+            one = hashed.bitwiseAND(mask).cast("int")
+            two = F.shiftright(hashed, 32).bitwiseAND(mask).cast("int")
+            return F.when(F.get(self.tokens, one) == piece, F.get(self.ranks, one)).when(F.get(self.tokens, two) == piece, F.get(self.ranks, two))
+
+        return let(F.xxhash64(piece), "int", at)
 
-def let(value: Column, body) -> Column:
-    """``body`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+def let(value: Column, kind: str, body) -> Column:
+    """``body`` (of the type ``kind``) with ``value`` evaluated once.
+
+    An aggregate over one element: unlike an element of a transformed array, its type
+    is known without walking through the body each time.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, bound: body(bound))
 
 
 def fold_merges(word: Column, ranks: Ranks) -> Column:
     """The token ids of one word (binary) by ranked merges; a null word gives null."""
     size = F.octet_length(word)
-    bytes_ = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
-    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda i: ranks(F.substring(word, i, F.lit(2))))).otherwise(
-        F.array().cast("array<int>")
-    )
-
-    def merge(state: Column, _: Column) -> Column:
-        best = F.array_min(state["ranks"])
-
-        def at(i: Column) -> Column:
-            pieces, old = state["pieces"], state["ranks"]
-            count = F.size(pieces)
-            joined = F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1))
+    start = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
 
-            def rebuilt(new: Column) -> Column:
-                before = F.when(i > 1, F.array(ranks(F.concat(F.element_at(pieces, i - 1), new)))).otherwise(F.array().cast("array<int>"))
-                after = F.when(i + 2 <= count, F.array(ranks(F.concat(new, F.element_at(pieces, i + 2))))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(new), F.slice(pieces, i + 2, count)).alias("pieces"),
-                    F.concat(F.slice(old, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(old, i + 2, count)).alias("ranks"),
-                )
+    def merge(pieces: Column, _: Column) -> Column:
+        pairs = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda piece, i: ranks(F.concat(F.get(pieces, i), piece)))
 
-            return let(joined, rebuilt)
+        def lowest(found: Column) -> Column:
+            best = F.array_position(found, F.array_min(found)).cast("int")
+            joined = lambda i: F.concat(
+                F.slice(pieces, F.lit(1), i - 1), F.array(F.concat(F.get(pieces, i - 1), F.get(pieces, i))), F.slice(pieces, i + 2, F.size(pieces))
+            )
+            return F.coalesce(let(best, "array<binary>", joined), pieces)
 
-        return F.when(best.isNull(), state).otherwise(let(F.array_position(state["ranks"], best).cast("int"), at))
+        return F.when(F.size(pieces) < 2, pieces).otherwise(let(pairs, "array<binary>", lowest))
 
-    start = F.struct(bytes_.alias("pieces"), pairs.alias("ranks"))
-    steps = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, merge, lambda end: F.transform(end["pieces"], ranks))
+    steps = F.when(size > 1, F.sequence(F.lit(2), size)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, start, merge, lambda end: F.transform(end, ranks))
 
 
 # --- words and documents ---------------------------------------------------------
@@ -162,9 +168,11 @@ def _encode_long(path: str):
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
     """``word, ids`` of distinct words (string) that are no tokens themselves."""
-    ranks = Ranks(path)
     short = F.octet_length("word") <= FOLD_BYTES
-    folded = words.where(short).select("word", fold_merges(F.col("word").cast("binary"), ranks).alias("ids"))
+    table = rank_table(words.sparkSession, path)
+    # two projections: a subquery may not be written inside a higher-order function; the optimizer joins them
+    bound = words.where(short).select("word", table.alias("_ranks"))
+    folded = bound.select("word", let(F.col("_ranks"), "array<int>", lambda t: fold_merges(F.col("word").cast("binary"), Ranks(t))).alias("ids"))
     return folded.unionByName(words.where(~short).select("word", _encode_long(path)("word").alias("ids")))
 
 
