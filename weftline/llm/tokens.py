@@ -144,6 +144,19 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
+#: Stands between the words of a packed text: a noncharacter. Texts that hold it stay as they are and are cut again.
+BETWEEN = "\ufdd0"
+
+
+def packed_words(text: Column) -> Column:
+    """The words as one string, which moves and compresses better than an array of strings; null for no words."""
+    return F.when(F.contains(text, F.lit(BETWEEN)), text).otherwise(F.nullif(F.array_join(words_of(text), BETWEEN), F.lit("")))
+
+
+def unpacked_words(packed: Column, cut_again: Column) -> Column:
+    return F.when(cut_again, words_of(packed)).otherwise(F.split(packed, BETWEEN, -1))
+
+
 def rank_rows(spark: SparkSession, path: str) -> DataFrame:
     """``token`` (binary), ``id``: the whole vocabulary."""
     ranks = load_ranks(path)
@@ -188,13 +201,19 @@ class Encoder:
         self.path = path or vocabulary_path()
         self.spark = documents.sparkSession
         self.documents = documents.select("doc_id")
-        self.words = materialise(documents.select("doc_id", words_of(F.col("text")).alias("words")), "words")
+        held = F.coalesce(F.contains("text", F.lit(BETWEEN)), F.lit(False))
+        self.packed = materialise(documents.select("doc_id", packed_words(F.col("text")).alias("packed"), held.alias("held")), "words")
         self.ranks = F.broadcast(rank_rows(self.spark, self.path))
         self.broadcast_words = broadcast_words
 
+    def words(self, by_document: bool) -> DataFrame:
+        """``doc_id, words``; all rows of a document in one partition if ``by_document``."""
+        packed = self.packed.repartition("doc_id") if by_document else self.packed
+        return packed.where(F.col("packed").isNotNull()).select("doc_id", unpacked_words(F.col("packed"), F.col("held")).alias("words"))
+
     def vocabulary(self) -> DataFrame:
         """``word, ids`` of all distinct words that are no tokens themselves."""
-        words = self.words.select(F.explode("words").alias("word"))
+        words = self.words(False).select(F.explode("words").alias("word"))
         rare = words.join(self.ranks, words["word"].cast("binary") == self.ranks["token"], "left_anti").distinct()
         return materialise(encode_words(rare.repartition("word"), self.path), "word-ids")
 
@@ -203,7 +222,7 @@ class Encoder:
         vocabulary = self.vocabulary()
         small = vocabulary.count() <= self.broadcast_words  # a count of parquet footers
         words = (
-            self.words.repartition("doc_id")
+            self.words(True)
             .select("doc_id", F.posexplode("words").alias("pos", "word"))
             .withColumn("_token", F.col("word").cast("binary"))
             .join(self.ranks, F.col("_token") == self.ranks["token"], "left")
@@ -221,7 +240,7 @@ class Encoder:
     def ids(self) -> DataFrame:
         """``doc_id, ids``. Empty and null texts, and texts without words, have an empty list."""
         lists = self.tokens().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("_t")).select("doc_id", F.col("_t.id").alias("ids"))
-        empty = self.words.where(F.size("words") == 0).select("doc_id", F.array().cast("array<int>").alias("ids"))
+        empty = self.packed.where(F.col("packed").isNull()).select("doc_id", F.array().cast("array<int>").alias("ids"))
         return lists.unionByName(empty)
 
 
