@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from weftline.session import materialise
+from weftline.session import materialise, shuffle_partitions
 
 #: Fixed value: the word pattern of the vocabulary, with Unicode classes for Java.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -31,6 +31,11 @@ FOLD_BYTES = 256
 #: Words beyond the rank table are broadcast up to this many; beyond, they are joined by shuffle.
 BROADCAST_WORDS = 400_000
 SLOT_BITS = 17
+#: Documents put together by one task at most, about; each is one group of an aggregation in memory.
+DOCUMENTS_A_PARTITION = 4096
+#: A token's place in its document, its place in its word and its id share 63 bits; longer words go to the library.
+SUB_BITS, ID_BITS = 17, 16
+LONG_WORDS = r"\S{32768}|\s{32768}"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -189,6 +194,14 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return folded.unionByName(words.where(~short).select("word", _encode_long(path)("word").alias("ids")))
 
 
+def _encode_text(path: str):
+    @F.pandas_udf("array<int>")
+    def encode(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: native(path).encode_ordinary(t))
+
+    return encode
+
+
 class Encoder:
     """Encodes the column ``text`` of documents with unique ``doc_id``.
 
@@ -200,16 +213,20 @@ class Encoder:
     def __init__(self, documents: DataFrame, path: str | None = None, broadcast_words: int = BROADCAST_WORDS):
         self.path = path or vocabulary_path()
         self.spark = documents.sparkSession
-        self.documents = documents.select("doc_id")
         held = F.coalesce(F.contains("text", F.lit(BETWEEN)), F.lit(False))
-        self.packed = materialise(documents.select("doc_id", packed_words(F.col("text")).alias("packed"), held.alias("held")), "words")
+        long = F.coalesce(F.col("text").rlike(LONG_WORDS), F.lit(False))
+        packed = F.when(long, F.col("text")).otherwise(packed_words(F.col("text")))
+        self.packed = materialise(documents.select("doc_id", packed.alias("packed"), held.alias("held"), long.alias("long")), "words")
+        self.long = self.packed.where("long").select("doc_id", _encode_text(self.path)("packed").alias("ids"))
         self.ranks = F.broadcast(rank_rows(self.spark, self.path))
         self.broadcast_words = broadcast_words
 
     def words(self, by_document: bool) -> DataFrame:
         """``doc_id, words``; all rows of a document in one partition if ``by_document``."""
-        packed = self.packed.repartition("doc_id") if by_document else self.packed
-        return packed.where(F.col("packed").isNotNull()).select("doc_id", unpacked_words(F.col("packed"), F.col("held")).alias("words"))
+        packed = self.packed
+        if by_document:
+            packed = packed.repartition(max(shuffle_partitions(self.spark), -(-packed.count() // DOCUMENTS_A_PARTITION)), "doc_id")
+        return packed.where(F.col("packed").isNotNull() & ~F.col("long")).select("doc_id", unpacked_words(F.col("packed"), F.col("held")).alias("words"))
 
     def vocabulary(self) -> DataFrame:
         """``word, ids`` of all distinct words that are no tokens themselves."""
@@ -218,7 +235,7 @@ class Encoder:
         return materialise(encode_words(rare.repartition("word"), self.path), "word-ids")
 
     def tokens(self) -> DataFrame:
-        """``doc_id, at, id``: one row for each token, ``at`` (position of the word, place in the word)."""
+        """``doc_id, token``: one row for each token, a number made of the word's place, the token's place in it, and the id."""
         vocabulary = self.vocabulary()
         small = vocabulary.count() <= self.broadcast_words  # a count of parquet footers
         words = (
@@ -228,20 +245,27 @@ class Encoder:
             .join(self.ranks, F.col("_token") == self.ranks["token"], "left")
             .select("doc_id", "pos", "id", F.when(F.col("id").isNull(), F.col("word")).alias("word"))
         )
+        place = F.shiftleft(F.col("pos").cast("long"), SUB_BITS + ID_BITS)
         if small:
             words = words.join(F.broadcast(vocabulary), "word", "left")
-            ids = F.coalesce("ids", F.array("id"))
-            return words.select("doc_id", "pos", F.posexplode(ids).alias("sub", "id")).select("doc_id", F.struct("pos", "sub").alias("at"), "id")
-        rare = words.where(F.col("id").isNull()).select("doc_id", "pos", "word").join(vocabulary, "word")
-        rare = rare.select("doc_id", "pos", F.posexplode("ids").alias("sub", "id"))
-        plain = words.where(F.col("id").isNotNull()).select("doc_id", "pos", F.lit(0).alias("sub"), "id")
-        return plain.unionByName(rare).select("doc_id", F.struct("pos", "sub").alias("at"), "id")
+            return words.select("doc_id", place.alias("_p"), F.posexplode(F.coalesce("ids", F.array("id"))).alias("sub", "id")).select("doc_id", _token("_p"))
+        rare = words.where(F.col("id").isNull()).select("doc_id", place.alias("_p"), "word").join(vocabulary, "word")
+        rare = rare.select("doc_id", "_p", F.posexplode("ids").alias("sub", "id")).select("doc_id", _token("_p"))
+        plain = words.where(F.col("id").isNotNull()).select("doc_id", place.bitwiseOR(F.col("id").cast("long")).alias("token"))
+        return plain.unionByName(rare)
 
     def ids(self) -> DataFrame:
         """``doc_id, ids``. Empty and null texts, and texts without words, have an empty list."""
-        lists = self.tokens().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("_t")).select("doc_id", F.col("_t.id").alias("ids"))
-        empty = self.packed.where(F.col("packed").isNull()).select("doc_id", F.array().cast("array<int>").alias("ids"))
-        return lists.unionByName(empty)
+        self.spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * DOCUMENTS_A_PARTITION))  # else each task sorts all its rows
+        mask = F.lit((1 << ID_BITS) - 1).cast("long")
+        lists = self.tokens().groupBy("doc_id").agg(F.sort_array(F.collect_list("token")).alias("_t"))
+        lists = lists.select("doc_id", F.transform("_t", lambda t: t.bitwiseAND(mask).cast("int")).alias("ids"))
+        empty = self.packed.where(F.col("packed").isNull() & ~F.col("long")).select("doc_id", F.array().cast("array<int>").alias("ids"))
+        return lists.unionByName(empty).unionByName(self.long)
+
+
+def _token(place: str) -> Column:
+    return F.col(place).bitwiseOR(F.shiftleft(F.col("sub").cast("long"), ID_BITS)).bitwiseOR(F.col("id").cast("long")).alias("token")
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
