@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import lines, packing, residue, seen, tokens
+from weftline.llm import garbled, lines, packing, residue, seen, tokens
 from weftline.session import materialise, table
 
 
@@ -16,6 +16,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.main_content(table(spark, sf_dir, "responses"), table(spark, sf_dir, "cached_responses"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.garbled_responses(table(spark, sf_dir, "responses"))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.repaired_responses(table(spark, sf_dir, "responses"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.seen_requests(table(spark, sf_dir, "requests"), table(spark, sf_dir, "seen_fingerprints"))
 
@@ -58,6 +66,6 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir), _capacities(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_error_rate, p5_found, p5_cleaned, p6_ids, p6_decoded, p7_packing, p7_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_repaired, p4_found, p4_error_rate, p5_found, p5_cleaned, p6_ids, p6_decoded, p7_packing, p7_fill)}
 
 ORACLE_SQL = {}
