@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import garbled, lines, packing, residue, seen, tokens
+from weftline.llm import garbled, lines, packing, reading, residue, seen, tokens
 from weftline.session import materialise, table
 
 
@@ -66,6 +66,16 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir), _capacities(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_repaired, p4_found, p4_error_rate, p5_found, p5_cleaned, p6_ids, p6_decoded, p7_packing, p7_fill)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return reading.hardest(documents, reading.fitted(documents, table(spark, sf_dir, "reading_labels")))
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return reading.levels(documents, reading.fitted(documents, table(spark, sf_dir, "reading_labels")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_repaired, p4_found, p4_error_rate, p5_found, p5_cleaned, p6_ids, p6_decoded, p7_packing, p7_fill, p8_found, p8_levels)}
 
 ORACLE_SQL = {}
