@@ -346,13 +346,14 @@ def parse_curl(x: ColumnLike) -> Column:
 
     @F.pandas_udf(CURL)
     def parse(commands: pd.Series) -> pd.DataFrame:
-        def one(c: str | None) -> dict:
+        def one(c: str | None) -> list:
             try:
-                return parse_curl_command(c) if c is not None else {}
+                found = parse_curl_command(c) if c is not None else {}
             except CommandError:
-                return {}
+                found = {}
+            return [found.get(name) for name in CURL.names]
 
-        return pd.DataFrame([one(c) for c in commands], columns=CURL.names)
+        return pd.DataFrame([one(c) for c in commands], columns=CURL.names, dtype=object)
 
     parsed = parse(col(x))
     return F.when(parsed["url"].isNotNull(), parsed)

@@ -327,17 +327,22 @@ class CrawlEngine:
 
     ``fetch`` maps requests to responses ``request_id, url, status, body``; offline it is a
     join with a table of pages. Frontier and seen keys are written after each round; that
-    is the checkpoint.
+    is the checkpoint. Responses and items of each round stay below ``path``.
     """
 
     def __init__(self, spark: SparkSession, spider: Spider, fetch: Callable[[DataFrame], DataFrame], path: str, robots: DataFrame | None = None):
         self.spark, self.spider, self.fetch, self.path, self.robots = spark, spider, fetch, path, robots
-        self.checkpoint = Checkpoint(spark, path)
+        self.checkpoint = Checkpoint(spark, f"{path}/checkpoint")
         self.pause_requested = False
 
     def request_pause(self) -> None:
         self.pause_requested = True
 
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        """Written below the crawl's path and read again: fetched once, whatever is done with it."""
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
     def _prepared(self, urls: DataFrame, base: int) -> DataFrame:
         kept = urls.where(F.col("url").isNotNull() & domain_allowed("url", self.spider.allowed_domains)).select("url").distinct()
         numbered = with_fingerprint(make_requests(kept)).withColumn("enqueue_no", F.monotonically_increasing_id() + F.lit(base << 40))
@@ -371,7 +376,7 @@ class CrawlEngine:
                 now = can_fetch(now, rules)
                 result.stats["robots_denied"] += now.where(~F.col("can_fetch")).count()
                 now = now.where("can_fetch").drop("can_fetch")
-            got = self.fetch(now)
+            got = self._kept(self.fetch(now), f"responses/{number:08d}")
             again = retry_blocked(now, got)
             good = got.where(~http.is_blocked("status"))
             links, items = self.spider.parse(good)
@@ -379,7 +384,7 @@ class CrawlEngine:
             result.stats["responses"] += got.count()
             result.stats["blocked"] += got.where(http.is_blocked("status")).count()
             if items is not None:
-                result.items.append(self.spider.on_item(items))
+                result.items.append(self._kept(self.spider.on_item(items), f"items/{number:08d}"))
             fresh = enqueue(self._prepared(links, number), seen)
             seen = seen.select("fingerprint").unionByName(fresh.select("fingerprint")).distinct()
             frontier = rest.unionByName(again.select(*rest.columns)).unionByName(fresh.select(*rest.columns))

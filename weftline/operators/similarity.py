@@ -182,7 +182,7 @@ def attribute_similarity(left: dict, right: dict, ignored: tuple[str, ...] = ("h
 
 def find_similar(table: DataFrame, chosen: DataFrame, threshold: float = SIMILAR_THRESHOLD, match_text: bool = False, ignored: tuple[str, ...] = ("href", "src")) -> DataFrame:
     """Nodes of the chosen node's page with its tag, depth and parent's tag, and similar attributes. Adds ``of_id``."""
-    parent = F.try_element_at("path", F.size("path") - 1)
+    parent = F.get("path", F.size("path") - 2)
 
     @F.pandas_udf("double")
     def similar(left: pd.Series, right: pd.Series, one: pd.Series, two: pd.Series) -> pd.Series:

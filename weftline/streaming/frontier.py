@@ -12,14 +12,14 @@ def deduplicated(requests: DataFrame, at: str = "enqueued_at", delay: str = "1 h
 
     State is one fingerprint for each key seen within the watermark, whatever came before.
     """
-    keyed = with_fingerprint(requests).withWatermark(at, delay)
+    keyed = with_fingerprint(requests).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
     key = F.when(F.coalesce("dont_filter", F.lit(False)), F.concat_ws("#", "fingerprint", F.col("request_id").cast("string"))).otherwise(F.col("fingerprint"))
     return keyed.withColumn("_key", key).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
 def windowed_counts(responses: DataFrame, at: str = "fetched_at", window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Responses and bytes by window and status; windows close with the watermark."""
-    counted = responses.withWatermark(at, delay).groupBy(F.window(at, window).alias("w"), "status")
+    counted = responses.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).groupBy(F.window(at, window).alias("w"), "status")
     return counted.agg(F.count("*").alias("responses"), F.sum(F.coalesce(F.octet_length("body"), F.lit(0)).cast("long")).alias("bytes")).select(
         F.col("w.start").alias("window_start"), "status", "responses", "bytes"
     )
