@@ -310,7 +310,7 @@ def garbled_words(records: DataFrame) -> DataFrame:
 
 
 def records_of(responses: DataFrame) -> DataFrame:
-    return responses.select("response_id", "encoding", media_type(F.col("headers")).alias("media"), "body")
+    return responses.where(F.col("response_id").isNotNull()).select("response_id", "encoding", media_type(F.col("headers")).alias("media"), "body")
 
 
 def fitted(responses: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -322,7 +322,7 @@ def garbled_responses(responses: DataFrame, model: Model | None = None) -> DataF
     """``response_id`` of the responses whose text is garbled, in all or in part.
 
     Null and empty bodies and texts in plain ASCII are no cases, whatever their label.
-    An unknown label is taken for UTF-8.
+    An unknown label is taken for UTF-8. Rows with a null id are left out.
     """
     model = model or fitted(responses)
 

@@ -55,9 +55,10 @@ def text_documents(responses: DataFrame, requests: DataFrame) -> DataFrame:
 
     The site is that of the request's url, or of the response's own url where
     ``request_id`` is null or names no request. Null sites form a site of their own;
-    null bodies have no lines.
+    null bodies have no lines;
+    rows with a null id are left out.
     """
-    plain = responses.where(media_type(F.col("headers")) == "text/plain").select(
+    plain = responses.where(F.col("response_id").isNotNull() & (media_type(F.col("headers")) == "text/plain")).select(
         "response_id", "request_id", site_of(F.col("url")).alias("_own"), F.to_date("fetched_at").alias("day"), "body"
     )
     # requests are many and wide; only the site of each is kept, once for each id
@@ -112,7 +113,7 @@ class RepeatedLines:
     def counts(self) -> DataFrame:
         """``site, line_hash, responses, clusters, days, occurrences`` of every line.
 
-        Days are counted by the first day of each cluster, so that a republished
+        Days are counted by the first day of each cluster (unknown days as one), so that a republished
         article adds one day.
         """
         size = self.members.groupBy("site", "cluster").agg(F.count_distinct("response_id").alias("_n"), F.min("day").alias("_day"))
@@ -122,7 +123,7 @@ class RepeatedLines:
             .groupBy("site", "line_hash", "_day")
             .agg(F.sum("_n").alias("_n"), F.count("*").alias("_c"), F.sum(F.col("_n") * F.col("_times")).alias("_o"))
             .groupBy("site", "line_hash")
-            .agg(F.sum("_n").alias("responses"), F.sum("_c").alias("clusters"), F.count("_day").alias("days"), F.sum("_o").alias("occurrences"))
+            .agg(F.sum("_n").alias("responses"), F.sum("_c").alias("clusters"), F.count("*").alias("days"), F.sum("_o").alias("occurrences"))
         )
 
     def repeated(self) -> DataFrame:

@@ -61,7 +61,7 @@ def pack(items: DataFrame, capacities: list[tuple[int, int]], group_size: int =
 
     Returns ``window_id, group_no, bin_no, doc_id, piece_no, piece_start, n_tokens``: in
     which bin (of its group) lies which document or piece of it, ``piece_no`` from 0.
-    Null sizes count as 0; capacities that are null or not positive are left out. An
+    Null ids are left out, null sizes count as 0; capacities that are null or not positive are left out. An
     empty table gives no rows.
     """
     capacities = [(w, c) for w, c in capacities if c is not None and c > 0]
@@ -84,7 +84,7 @@ def pack(items: DataFrame, capacities: list[tuple[int, int]], group_size: int =
             )
         return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
 
-    dealt = items.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("group_no"), "doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    dealt = items.where(F.col("doc_id").isNotNull()).select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("group_no"), "doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
     return dealt.groupBy("group_no").applyInPandas(one, schema)
 
 

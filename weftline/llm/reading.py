@@ -230,7 +230,8 @@ def levels(documents: DataFrame, reader: Reader) -> DataFrame:
     """``doc_id, n_words, english, band, p1..p4, difficulty`` of each document.
 
     ``band`` is the likeliest band, ``difficulty`` the mean of the bands under the
-    calibrated distribution. Null, empty and blank texts have no words, and null bands.
+    calibrated distribution. Null, empty and blank texts have no words, and null bands;
+    rows with a null id are left out.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,7 +248,7 @@ def levels(documents: DataFrame, reader: Reader) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "english", "band", "p1", "p2", "p3", "p4", "difficulty"]).astype({"band": "Int32"})
 
     schema = "doc_id long, n_words long, english boolean, band int, p1 double, p2 double, p3 double, p4 double, difficulty double"
-    return documents.select("doc_id", "text").mapInPandas(scan, schema)
+    return documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(scan, schema)
 
 
 def hardest(documents: DataFrame, reader: Reader, band: int = BANDS, min_words: int = MIN_WORDS) -> DataFrame:

@@ -4,7 +4,7 @@ Texts are cut into words by the vocabulary's pattern inside the JVM. A word that
 token itself is looked up in the rank table, whose size is that of the vocabulary
 (50,256 rows, so its broadcast is bounded). Every other word is encoded once however
 often it occurs: its distinct words are folded by Spark's higher-order functions.
-The fold keeps the pieces of a word, ranks the neighbouring pairs and merges
+The fold keeps the pieces of a word and the ranks of neighbouring pairs, and merges
 the leftmost pair of lowest rank until no pair has a rank. Ranks come from a constant
 of the plan: a two-choice hash table over the byte strings of all tokens, read by
 index, since a map would be searched from its start.
@@ -120,25 +120,36 @@ def let(value: Column, kind: str, body) -> Column:
     return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, bound: body(bound))
 
 
+STATE = "struct<pieces:array<binary>,ranks:array<int>>"
+
+
 def fold_merges(word: Column, ranks: Ranks) -> Column:
     """The token ids of one word (binary) by ranked merges; a null word gives null."""
     size = F.octet_length(word)
-    start = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
+    one, none = F.lit(1), F.array().cast("array<int>")
+    pieces_ = F.transform(F.sequence(one, size), lambda i: F.substring(word, i, one))
+    pairs = F.when(size > 1, F.transform(F.sequence(one, size - 1), lambda i: ranks(F.substring(word, i, F.lit(2))))).otherwise(none)
+
+    def merge(state: Column, _: Column) -> Column:
+        pieces, old = state["pieces"], state["ranks"]
 
-    def merge(pieces: Column, _: Column) -> Column:
-        pairs = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda piece, i: ranks(F.concat(F.get(pieces, i), piece)))
+        def at(i: Column) -> Column:  # the pair of pieces i and i + 1 is merged
+            def rebuilt(new: Column) -> Column:
+                before = F.when(i > 1, F.array(ranks(F.concat(F.get(pieces, i - 2), new)))).otherwise(none)
+                after = F.when(i + 1 < F.size(pieces), F.array(ranks(F.concat(new, F.get(pieces, i + 1))))).otherwise(none)
+                return F.struct(
+                    F.concat(F.slice(pieces, one, i - 1), F.array(new), F.slice(pieces, i + 2, F.size(pieces))).alias("pieces"),
+                    F.concat(F.slice(old, one, F.greatest(i - 2, F.lit(0))), before, after, F.slice(old, i + 2, F.size(pieces))).alias("ranks"),
+                )
 
-        def lowest(found: Column) -> Column:
-            best = F.array_position(found, F.array_min(found)).cast("int")
-            joined = lambda i: F.concat(
-                F.slice(pieces, F.lit(1), i - 1), F.array(F.concat(F.get(pieces, i - 1), F.get(pieces, i))), F.slice(pieces, i + 2, F.size(pieces))
-            )
-            return F.coalesce(let(best, "array<binary>", joined), pieces)
+            return let(F.concat(F.get(pieces, i - 1), F.get(pieces, i)), STATE, rebuilt)
 
-        return F.when(F.size(pieces) < 2, pieces).otherwise(let(pairs, "array<binary>", lowest))
+        best = F.array_min(old)
+        return F.when(best.isNull(), state).otherwise(let(F.array_position(old, best).cast("int"), STATE, at))
 
-    steps = F.when(size > 1, F.sequence(F.lit(2), size)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, merge, lambda end: F.transform(end, ranks))
+    steps = F.when(size > 1, F.sequence(F.lit(2), size)).otherwise(none)
+    start = F.struct(pieces_.alias("pieces"), pairs.alias("ranks"))
+    return F.aggregate(steps, start, merge, lambda end: F.transform(end["pieces"], ranks))
 
 
 # --- words and documents ---------------------------------------------------------
@@ -203,7 +214,7 @@ def _encode_text(path: str):
 
 
 class Encoder:
-    """Encodes the column ``text`` of documents with unique ``doc_id``.
+    """Encodes the column ``text`` of documents with unique ``doc_id``; rows with a null id are left out.
 
     The words of each document, and the ids of the distinct words, are written into
     the shared folder once and read again, so the pattern runs once over the corpus
@@ -213,12 +224,15 @@ class Encoder:
     def __init__(self, documents: DataFrame, path: str | None = None, broadcast_words: int = BROADCAST_WORDS):
         self.path = path or vocabulary_path()
         self.spark = documents.sparkSession
+        documents = documents.where(F.col("doc_id").isNotNull())
         held = F.coalesce(F.contains("text", F.lit(BETWEEN)), F.lit(False))
-        long = F.coalesce(F.col("text").rlike(LONG_WORDS), F.lit(False))
+        long = F.coalesce((F.length("text") > 32_000) & F.col("text").rlike(LONG_WORDS), F.lit(False))
         packed = F.when(long, F.col("text")).otherwise(packed_words(F.col("text")))
         self.packed = materialise(documents.select("doc_id", packed.alias("packed"), held.alias("held"), long.alias("long")), "words")
         self.long = self.packed.where("long").select("doc_id", _encode_text(self.path)("packed").alias("ids"))
-        self.ranks = F.broadcast(rank_rows(self.spark, self.path))
+        ranks = rank_rows(self.spark, self.path)
+        # tokens that are no text by themselves never are a word
+        self.rank_words = ranks.where(F.is_valid_utf8(F.col("token").cast("string"))).select(F.col("token").cast("string").alias("word"), "id")
         self.broadcast_words = broadcast_words
 
     def words(self, by_document: bool) -> DataFrame:
@@ -231,27 +245,23 @@ class Encoder:
     def vocabulary(self) -> DataFrame:
         """``word, ids`` of all distinct words that are no tokens themselves."""
         words = self.words(False).select(F.explode("words").alias("word"))
-        rare = words.join(self.ranks, words["word"].cast("binary") == self.ranks["token"], "left_anti").distinct()
+        rare = words.join(F.broadcast(self.rank_words), "word", "left_anti").distinct()
         return materialise(encode_words(rare.repartition("word"), self.path), "word-ids")
 
     def tokens(self) -> DataFrame:
         """``doc_id, token``: one row for each token, a number made of the word's place, the token's place in it, and the id."""
         vocabulary = self.vocabulary()
         small = vocabulary.count() <= self.broadcast_words  # a count of parquet footers
-        words = (
-            self.words(True)
-            .select("doc_id", F.posexplode("words").alias("pos", "word"))
-            .withColumn("_token", F.col("word").cast("binary"))
-            .join(self.ranks, F.col("_token") == self.ranks["token"], "left")
-            .select("doc_id", "pos", "id", F.when(F.col("id").isNull(), F.col("word")).alias("word"))
-        )
         place = F.shiftleft(F.col("pos").cast("long"), SUB_BITS + ID_BITS)
+        words = self.words(True).select("doc_id", F.posexplode("words").alias("pos", "word"))
+        own = self.rank_words.select("word", F.array("id").alias("ids"))
         if small:
-            words = words.join(F.broadcast(vocabulary), "word", "left")
-            return words.select("doc_id", place.alias("_p"), F.posexplode(F.coalesce("ids", F.array("id"))).alias("sub", "id")).select("doc_id", _token("_p"))
-        rare = words.where(F.col("id").isNull()).select("doc_id", place.alias("_p"), "word").join(vocabulary, "word")
+            known = words.join(F.broadcast(own.unionByName(vocabulary)), "word")
+            return known.select("doc_id", place.alias("_p"), F.posexplode("ids").alias("sub", "id")).select("doc_id", _token("_p"))
+        words = words.join(F.broadcast(self.rank_words), "word", "left").select("doc_id", place.alias("_p"), "id", F.when(F.col("id").isNull(), F.col("word")).alias("word"))
+        rare = words.where(F.col("id").isNull()).select("doc_id", "_p", "word").join(vocabulary, "word")
         rare = rare.select("doc_id", "_p", F.posexplode("ids").alias("sub", "id")).select("doc_id", _token("_p"))
-        plain = words.where(F.col("id").isNotNull()).select("doc_id", place.bitwiseOR(F.col("id").cast("long")).alias("token"))
+        plain = words.where(F.col("id").isNotNull()).select("doc_id", F.col("_p").bitwiseOR(F.col("id").cast("long")).alias("token"))
         return plain.unionByName(rare)
 
     def ids(self) -> DataFrame:
@@ -290,4 +300,4 @@ def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
         encode = native(path).encode_ordinary
         return texts.map(lambda t: len(encode(t)) if t else 0).astype("int32")
 
-    return documents.select("doc_id", count("text").alias("n_tokens"))
+    return documents.where(F.col("doc_id").isNotNull()).select("doc_id", count("text").alias("n_tokens"))
