@@ -62,6 +62,17 @@ def test_cookies_and_headers(spark):
     assert one(spark, text.parse_header_lines("s"), s=["A: 1;", "bad", "A: 2", "B:"]) == {"A": "2", "B": ""}
 
 
+def test_pairs_and_display(spark):
+    assert one(spark, text.parse_pairs("s"), s=["a=1", "b", "a=2=3"]) == {"a": "2=3"}
+    assert one(spark, text.display("s"), s="  short\n text ") == "short text"
+    assert one(spark, text.display("s", 5), s="ééé") == "éé..."
+
+
+def test_completed(spark):
+    df = spark.createDataFrame([(None, None, {"content-type": "text/html; charset=koi8-r"}, None, None), (404, "x", {}, "a", "post")], "status int, reason string, headers map<string,string>, encoding string, method string")
+    assert [tuple(r) for r in http.completed(df).select("status", "reason", "encoding", "method").collect()] == [(200, "OK", "koi8-r", "GET"), (404, "x", "a", "POST")]
+
+
 def test_curl(spark):
     command = "curl 'https://e.test/a' -H 'X: 1' -H 'Cookie: a=b' -b 'c=d' --data-raw '{\"k\": 1}' -L -x http://p.test"
     got = one(spark, text.parse_curl("s"), s=command)

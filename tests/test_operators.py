@@ -62,6 +62,18 @@ def test_finding(table):
     assert nodes.find_by_regex(table, r"^\$\d+$").count() == 2
 
 
+def test_matches_and_fragments(spark, pages, table):
+    prices = table.where("tag = 'span'")
+    assert [r.match for r in nodes.node_re(prices, r"\d+").orderBy("node_id").collect()] == ["10", "20"]
+    assert [r.match for r in nodes.node_re_first(prices, r"[x]", "none").collect()] == ["none"]
+    part = nodes.nodes(pages.where("page_id = 3"), fragment=True).orderBy("node_id").collect()
+    assert [(r.tag, r.depth) for r in part] == [("html", 0), ("p", 1)]
+    from weftline.functions.convert import extract_content
+
+    got = {r.page_id: r.content for r in extract_content(pages, "text", "h3").collect()}
+    assert got == {1: "One Two", 2: None, 3: ""}
+
+
 def test_generated_selectors_lead_back(pages, table):
     chosen = table.where("parent_id is not null and tag not in ('head')")
     for row in nodes.generated_selectors(table, chosen).where("page_id = 1").collect():

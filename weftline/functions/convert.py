@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.functions import tree
 from weftline.functions.text import ColumnLike, col
@@ -128,3 +128,21 @@ def to_markdown(x: ColumnLike) -> Column:
         return pages.map(html_to_markdown)
 
     return convert(col(x))
+
+
+def extract_content(pages: DataFrame, kind: str = "markdown", selector: str | None = None) -> DataFrame:
+    """``page_id, content`` of ``page_id, html``: the page, or its matches joined by newlines, as markdown, text or html."""
+    from weftline.functions.css import select
+
+    turn = {"markdown": html_to_markdown, "text": html_to_text, "html": lambda source: source}[kind]
+
+    @F.pandas_udf("string")
+    def content(sources: pd.Series) -> pd.Series:
+        def one(source: str | None) -> str | None:
+            if source is not None and selector:
+                source = "\n".join(tree.outer_html(n) for n in select(tree.parse(source), selector))
+            return turn(source)
+
+        return sources.map(one)
+
+    return pages.select("page_id", content("html").alias("content"))

@@ -7,7 +7,7 @@ from http import HTTPStatus
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.functions.text import ColumnLike, col
 
@@ -39,6 +39,19 @@ def status_text(status: ColumnLike) -> Column:
     return F.coalesce(F.try_element_at(phrases, col(status).cast("int")), F.lit(UNKNOWN_STATUS))
 
 
+def completed(responses: DataFrame) -> DataFrame:
+    """Raw exchanges as responses: status 200, the standard reason, the declared encoding and GET where they are null."""
+    status = F.coalesce("status", F.lit(200))
+    return responses.withColumns(
+        {
+            "status": status,
+            "reason": F.coalesce(F.nullif("reason", F.lit("")), status_text(status)),
+            "encoding": F.coalesce("encoding", declared_encoding("headers")),
+            "method": F.upper(F.coalesce("method", F.lit("GET"))),
+        }
+    )
+
+
 def status_class(status: ColumnLike) -> Column:
     s = col(status)
     return F.when(s.between(200, 299), "success").when(s.between(300, 399), "redirect").when(s.between(400, 499), "client_error").when(s.between(500, 599), "server_error")

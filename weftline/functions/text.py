@@ -248,6 +248,24 @@ def parse_header_lines(lines: ColumnLike) -> Column:
     return F.map_from_entries(last)
 
 
+def parse_pairs(pairs: ColumnLike, delimiter: str = "=") -> Column:
+    """``name<delimiter>value`` texts of an array as a map; those without the delimiter fall away, the last of equal names wins."""
+    def entry(p: Column) -> Column:
+        at = F.instr(p, delimiter)
+        return F.struct(trim_text(F.substring(p, F.lit(1), at - 1)).alias("key"), trim_text(F.substring(p, at + len(delimiter), F.length(p))).alias("value"))
+
+    entries = F.transform(F.filter(col(pairs), lambda p: F.contains(p, F.lit(delimiter))), entry)
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def display(x: ColumnLike, size: int = 40) -> Column:
+    """A short form for logs: white space cleaned, cut to ``size`` bytes, with dots if it was cut."""
+    text = clean(x)
+    cut = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, size).cast("string"))
+    return F.when(F.octet_length(text) > size, F.concat(F.rtrim(F.replace(cut, F.lit("\ufffd"), F.lit(""))), F.lit("..."))).otherwise(text)
+
+
 CURL = T.StructType(
     [
         T.StructField("method", T.StringType()),

@@ -30,8 +30,8 @@ def _clean(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
 
 
-def _rows(page_id, url, source) -> Iterator[tuple]:
-    root = tree.parse(source)
+def _rows(page_id, url, source, fragment: bool) -> Iterator[tuple]:
+    root = tree.parse(source, fragment)
     for node in (root, *root.walk()):
         parents = list(node.ancestors())
         chunks = [_clean(t) for t in node.texts()]
@@ -43,14 +43,17 @@ def _rows(page_id, url, source) -> Iterator[tuple]:
         )
 
 
-def nodes(pages: DataFrame) -> DataFrame:
-    """Parse ``page_id, url, html`` into the node table. Null and empty pages have html, head and body."""
+def nodes(pages: DataFrame, fragment: bool = False) -> DataFrame:
+    """Parse ``page_id, url, html`` into the node table. Null and empty pages have html, head and body.
+
+    With ``fragment`` the markup is a part of a page: its elements lie right below the root.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for start in range(0, len(pdf), 32):  # pages can be large: small output batches
                 part = pdf.iloc[start : start + 32]
-                rows = [r for p in zip(part["page_id"], part["url"], part["html"]) for r in _rows(*p)]
+                rows = [r for p in zip(part["page_id"], part["url"], part["html"]) for r in _rows(*p, fragment)]
                 yield pd.DataFrame(rows, columns=NODE_COLUMNS).astype({"parent_id": "Int32"})
 
     return pages.select("page_id", "url", "html").mapInPandas(scan, NODE_SCHEMA)
@@ -320,6 +323,20 @@ def find_by_regex(table: DataFrame, pattern: str, case_sensitive: bool = True, c
     return table.where(F.col("parent_id").isNotNull() & (F.col("own_text") != "") & re_matches(own, pattern, case_sensitive))
 
 
+def node_re(found: DataFrame, pattern: str, **options) -> DataFrame:
+    """``page_id, node_id, pos, match``: all matches in the nodes' own texts, as ``text.re_all`` gives them."""
+    from weftline.functions.text import re_all
+
+    matches = found.select("page_id", "node_id", re_all("own_text", pattern, **options).alias("_m"))
+    return matches.select("page_id", "node_id", F.posexplode("_m").alias("pos", "match"))
+
+
+def node_re_first(found: DataFrame, pattern: str, default: str | None = None, **options) -> DataFrame:
+    """``page_id, match``: the first match on each page of ``found``, or the default."""
+    first_match = node_re(found, pattern, **options).groupBy("page_id").agg(F.min_by("match", F.struct("node_id", "pos")).alias("match"))
+    return found.select("page_id").distinct().join(first_match, "page_id", "left").select("page_id", F.coalesce("match", F.lit(default)).alias("match"))
+
+
 # --- generated selectors ---------------------------------------------------------
 
 

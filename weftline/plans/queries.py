@@ -6,12 +6,14 @@ by the declared encoding. Every query runs over its whole tables.
 
 from __future__ import annotations
 
+from http import HTTPStatus
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import convert, http, text
 from weftline.functions.css import css_to_xpath
 from weftline.operators import crawl, nodes, similarity
-from weftline.session import materialise, table
+from weftline.session import materialise, spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,7 +33,7 @@ def query(sql: str | None = None):
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, url, html`` of the HTML responses with a body."""
-    r = table(spark, sf_dir, "responses").where(http.media_type("headers") == "text/html")
+    r = spread(table(spark, sf_dir, "responses").where(http.media_type("headers") == "text/html").select("response_id", "url", "encoding", "body"))
     return r.select(F.col("response_id").alias("page_id"), "url", http.decode_html("body", F.coalesce("encoding", F.lit("utf-8"))).alias("html"))
 
 
@@ -197,6 +199,20 @@ def css_xpath(spark, sf_dir):
     return spark.createDataFrame(rows, "css string, xpath string")
 
 
+@query()
+def extracted_content(spark, sf_dir):
+    """The articles of the pages that have one, as Markdown."""
+    return convert.extract_content(pages(spark, sf_dir), "markdown", "article, main, #content")
+
+
+@query()
+def cell_numbers(spark, sf_dir):
+    """Numbers in table cells, and the first of each page."""
+    cells = materialise(nodes.find_all(node_table(spark, sf_dir), tags=("td",)).select("page_id", "node_id", "own_text"), "cells")
+    numbers = nodes.node_re(cells, r"[0-9]+").groupBy("page_id").agg(F.count("*").alias("numbers"))
+    return nodes.node_re_first(cells, r"[0-9]+", "none").join(numbers, "page_id", "left")
+
+
 # --- text ------------------------------------------------------------------------
 
 SQL_CLEAN = r"regexp_replace(regexp_replace(translate(text, chr(9) || chr(13) || chr(10), '   '), ' +', ' ', 'g'), '^[\s\p{Z}\x85]+|[\s\p{Z}\x85]+$', '', 'g')"
@@ -264,6 +280,26 @@ def response_status(spark, sf_dir):
     return r.select("response_id", http.status_class("status").alias("class"), http.is_blocked("status").alias("blocked"))
 
 
+SQL_PHRASES = ", ".join(f"({int(s)}, '{s.phrase.replace(chr(39), chr(39) * 2)}')" for s in HTTPStatus)
+
+
+@query(
+    f"""select response_id, coalesce(status, 200) as status, coalesce(nullif(reason, ''), p.phrase, 'Unknown Status Code') as reason, upper(coalesce(method, 'GET')) as method,
+    coalesce(encoding, nullif(trim(regexp_extract(list_filter(map_entries(headers), lambda e: lower(e.key) = 'content-type')[1].value, 'charset=\\s*["'']?([^;"'']+)', 1)), ''), 'utf-8') as encoding
+    from responses left join (values {SQL_PHRASES}) as p(code, phrase) on p.code = coalesce(status, 200)"""
+)
+def completed_responses(spark, sf_dir):
+    return http.completed(table(spark, sf_dir, "responses")).select("response_id", "status", "reason", "method", "encoding")
+
+
+@query("select response_id, map_from_entries(list_transform(list_sort(map_keys(headers)), lambda k: {'k': k, 'v': headers[k]})) as headers from responses")
+def header_lines(spark, sf_dir):
+    """Headers written as lines and read again."""
+    r = table(spark, sf_dir, "responses")
+    lines = F.transform(text.sorted_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return r.select("response_id", F.map_from_entries(F.array_sort(F.map_entries(text.parse_pairs(lines, ":")))).alias("headers"))
+
+
 @query(f"select response_id, {SQL_HOST.format('url')} as host, coalesce(nullif({SQL_HOST.format('url')}, ''), 'default') as scope, split_part(url, '#', 1) as bare from responses")
 def response_urls(spark, sf_dir):
     r = table(spark, sf_dir, "responses")
