@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import garbled, lines, packing, reading, residue, seen, tokens
-from weftline.session import materialise, table
+from weftline.session import materialise, spread, table
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "responses").select("response_id", "headers", "encoding", "body"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +25,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return garbled.garbled_responses(table(spark, sf_dir, "responses"))
+    return garbled.garbled_responses(_bodies(spark, sf_dir))
 
 
 def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return garbled.repaired_responses(table(spark, sf_dir, "responses"))
+    return garbled.repaired_responses(_bodies(spark, sf_dir))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +49,11 @@ def p5_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.Encoder(table(spark, sf_dir, "documents")).ids()
+    return tokens.Encoder(_texts(spark, sf_dir)).ids()
 
 
 def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.decode_ids(tokens.Encoder(table(spark, sf_dir, "documents")).ids())
+    return tokens.decode_ids(tokens.Encoder(_texts(spark, sf_dir)).ids())
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
@@ -54,7 +62,7 @@ def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = materialise(tokens.token_counts(table(spark, sf_dir, "documents")), "sizes")
+    sizes = materialise(tokens.token_counts(_texts(spark, sf_dir)), "sizes")
     return packing.pack(sizes, _capacities(spark, sf_dir))
 
 
@@ -67,15 +75,26 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = _texts(spark, sf_dir)
     return reading.hardest(documents, reading.fitted(documents, table(spark, sf_dir, "reading_labels")))
 
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = _texts(spark, sf_dir)
     return reading.levels(documents, reading.fitted(documents, table(spark, sf_dir, "reading_labels")))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_repaired, p4_found, p4_error_rate, p5_found, p5_cleaned, p6_ids, p6_decoded, p7_packing, p7_fill, p8_found, p8_levels)}
 
-ORACLE_SQL = {}
+_FINGERPRINT = (
+    """lower(coalesce(fingerprint, sha1('{"body":"' || coalesce(lower(hex(case when json_type(session_kwargs::json, '$.data') = 'VARCHAR' then session_kwargs::json->>'data'"""
+    """ else coalesce((session_kwargs::json->'data')::varchar, (session_kwargs::json->'json')::varchar) end)), '') || '","method":"' || upper(coalesce(session_kwargs::json->>'method', 'GET'))"""
+    """ || '","sid":"' || coalesce(sid, '') || '","url":"' || split_part(coalesce(url, ''), '#', 1) || '"}')))"""
+)
+
+#: The others need HTML trees, fitted models, tokenizers or packing, which SQL can't say; they are tested against brute force.
+ORACLE_SQL = {
+    "p4_found": f"""select request_id from (select request_id, enqueue_no, fp, min(enqueue_no) over (partition by fp) as first_no from (
+        select request_id, min(enqueue_no) as enqueue_no, arg_min(fp, enqueue_no) as fp from (select request_id, enqueue_no, {_FINGERPRINT} as fp from requests) group by 1))
+        where enqueue_no > first_no or fp in (select lower(hex(fingerprint)) from seen_fingerprints where fingerprint is not null)""",
+}

@@ -25,14 +25,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftline.session import materialise, shuffle_partitions
 
-#: Fixed value: the word pattern of the vocabulary, with Unicode classes for Java.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the word pattern of the vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for the JVM, with white space spelled out and without needless backtracking.
+SPACE = r"\t-\r\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+JVM_PATTERN = rf"'(?:[stmd]|re|ve|ll)|\x20?+\p{{L}}++|\x20?+\p{{N}}++|\x20?+[^{SPACE}\p{{L}}\p{{N}}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 FOLD_BYTES = 256
 #: Words beyond the rank table are broadcast up to this many; beyond, they are joined by shuffle.
 BROADCAST_WORDS = 400_000
 SLOT_BITS = 17
 #: Documents put together by one task at most, about; each is one group of an aggregation in memory.
-DOCUMENTS_A_PARTITION = 4096
+DOCUMENTS_A_PARTITION = 2048
 #: A token's place in its document, its place in its word and its id share 63 bits; longer words go to the library.
 SUB_BITS, ID_BITS = 17, 16
 LONG_WORDS = r"\S{32768}|\s{32768}"
@@ -157,7 +160,7 @@ def fold_merges(word: Column, ranks: Ranks) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text; joined they are the text again. Empty and null texts have none."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(JVM_PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
 #: Stands between the words of a packed text: a noncharacter. Texts that hold it stay as they are and are cut again.
@@ -183,8 +186,7 @@ def rank_rows(spark: SparkSession, path: str) -> DataFrame:
 def native(path: str):
     import tiktoken
 
-    plain = PATTERN.removeprefix("(?U)")
-    return tiktoken.Encoding("own", pat_str=plain, mergeable_ranks=load_ranks(path), special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
 def _encode_long(path: str):
@@ -202,7 +204,8 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     # two projections: a subquery may not be written inside a higher-order function; the optimizer joins them
     bound = words.where(short).select("word", table.alias("_ranks"))
     folded = bound.select("word", let(F.col("_ranks"), "array<int>", lambda t: fold_merges(F.col("word").cast("binary"), Ranks(t))).alias("ids"))
-    return folded.unionByName(words.where(~short).select("word", _encode_long(path)("word").alias("ids")))
+    long = words.where(~short).repartition("word")  # few words: adaptive execution leaves few partitions that need Python
+    return folded.unionByName(long.select("word", _encode_long(path)("word").alias("ids")))
 
 
 def _encode_text(path: str):
@@ -228,8 +231,9 @@ class Encoder:
         held = F.coalesce(F.contains("text", F.lit(BETWEEN)), F.lit(False))
         long = F.coalesce((F.length("text") > 32_000) & F.col("text").rlike(LONG_WORDS), F.lit(False))
         packed = F.when(long, F.col("text")).otherwise(packed_words(F.col("text")))
-        self.packed = materialise(documents.select("doc_id", packed.alias("packed"), held.alias("held"), long.alias("long")), "words")
-        self.long = self.packed.where("long").select("doc_id", _encode_text(self.path)("packed").alias("ids"))
+        self.packed = materialise(documents.select("doc_id", packed.alias("packed"), held.alias("held"), long.alias("long")), "words", "snappy")
+        long = self.packed.where("long")
+        self.long = None if long.isEmpty() else long.select("doc_id", _encode_text(self.path)("packed").alias("ids"))
         ranks = rank_rows(self.spark, self.path)
         # tokens that are no text by themselves never are a word
         self.rank_words = ranks.where(F.is_valid_utf8(F.col("token").cast("string"))).select(F.col("token").cast("string").alias("word"), "id")
@@ -271,7 +275,8 @@ class Encoder:
         lists = self.tokens().groupBy("doc_id").agg(F.sort_array(F.collect_list("token")).alias("_t"))
         lists = lists.select("doc_id", F.transform("_t", lambda t: t.bitwiseAND(mask).cast("int")).alias("ids"))
         empty = self.packed.where(F.col("packed").isNull() & ~F.col("long")).select("doc_id", F.array().cast("array<int>").alias("ids"))
-        return lists.unionByName(empty).unionByName(self.long)
+        found = lists.unionByName(empty)
+        return found if self.long is None else found.unionByName(self.long)
 
 
 def _token(place: str) -> Column:
