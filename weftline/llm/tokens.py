@@ -248,7 +248,7 @@ class Encoder:
 
     def vocabulary(self) -> DataFrame:
         """``word, ids`` of all distinct words that are no tokens themselves."""
-        words = self.words(False).select(F.explode("words").alias("word"))
+        words = self.words(False).select(F.explode(F.array_distinct("words")).alias("word"))
         rare = words.join(F.broadcast(self.rank_words), "word", "left_anti").distinct()
         return materialise(encode_words(rare.repartition("word"), self.path), "word-ids")
 
