@@ -7,13 +7,17 @@ that a page's own container can be told from the frame.
 
 ``repeated_blocks`` is the suffix array of a site: the pages' token streams are
 concatenated, suffixes are sorted to a depth of ``WINDOW`` tokens by prefix doubling,
-and the tokens of substrings that come back on many distinct pages are covered.
+and the tokens of substrings that come back on a good share of the distinct pages are
+covered. Whole lines are boilerplate by a fixed count of distinct pages as well, so that
+rotating prompts fall away on large sites too.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,6 +40,17 @@ CLOSES_P = frozenset(
 
 WINDOW = 8
 SHARE = 0.3
+#: A line is boilerplate of its site from so many distinct pages on, however many the site has:
+#: ASIDE_PAGES if it also stands beside the content somewhere, else PAGES if it is a longer line without digits.
+ASIDE_PAGES = 3
+PAGES = 5
+#: Words of a line below which only the share counts.
+ASIDE_WORDS = 4
+WORDS = 7
+ASCII_WORD = re.compile(r"[A-Za-z0-9]")
+LETTERS = re.compile(r"[^\W\d_]+")
+BESIDE = frozenset("aside nav footer".split())
+ITEMS = frozenset("li dt dd td th blockquote pre code figcaption".split())
 
 
 def squeeze(text: str) -> str:
@@ -158,18 +173,86 @@ def distinct_owners(groups: np.ndarray, owners: np.ndarray) -> np.ndarray:
     return np.bincount(pair // (owners.max() + 1), minlength=groups.max() + 1)[groups]
 
 
-def repeated_blocks(pages: list[Page], share: float = SHARE, window: int = WINDOW) -> None:
+def page_owner(page: Page) -> str:
+    """What distinct pages are told apart by: pages of the same title are one page (a repeated fetch, a mirror)."""
+    return page.title or repr(page.key)
+
+
+def digest(text: str) -> int:
+    """A number of 64 bits with sign for a text, the same in every process."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def line_uses(page: Page) -> dict[str, tuple[bool, bool]]:
+    """The lines of a page that a count of pages can make boilerplate, with ``beside`` and ``item``.
+
+    Left out are lines with links, and short or numeric ones, which pages share by chance.
+    ``beside``: it stands in an aside, a menu or a footer. ``item``: it stands outside of
+    these as a list's item, a cell, a quote or code, as only content does.
+    """
+    out: dict[str, tuple[bool, bool]] = {}
+    for b in page.blocks:
+        if b.links or len(LETTERS.findall(b.text)) < ASIDE_WORDS:
+            continue
+        beside = not BESIDE.isdisjoint(b.tags)
+        item = not beside and not ITEMS.isdisjoint(b.tags)
+        was = out.get(b.text, (False, False))
+        out[b.text] = (was[0] or beside, was[1] or item)
+    return out
+
+
+def is_long_line(text: str) -> bool:
+    """Long enough, and without digits, to be boilerplate by PAGES alone."""
+    return len(LETTERS.findall(text)) >= WORDS and not any(map(str.isdigit, text))
+
+
+def boilerplate_lines(pages: list[Page]) -> set[int]:
+    """Digests of the lines of a whole site that stand on enough distinct pages of it; never more for a larger site."""
+    owners: dict[str, set[str]] = {}
+    marks: dict[str, tuple[bool, bool]] = {}
+    for p in pages:
+        owner = page_owner(p)
+        for text, (beside, item) in line_uses(p).items():
+            owners.setdefault(text, set()).add(owner)
+            was = marks.get(text, (False, False))
+            marks[text] = (was[0] or beside, was[1] or item)
+    return {
+        digest(text)
+        for text, who in owners.items()
+        if len(who) >= ASIDE_PAGES and not marks[text][1] and (marks[text][0] or len(who) >= PAGES and is_long_line(text))
+    }
+
+
+def repeated_blocks(pages: list[Page], share: float = SHARE, window: int = WINDOW, lines: set[int] | None = None, spare: Callable[[str], bool] | None = None) -> None:
     """Mark the blocks of one site that are covered by substrings repeated across its pages.
 
-    Pages of the same title are one page (a repeated fetch, a mirror). A substring counts
-    as repeated if it stands on at least two pages and on ``share`` of them; a block is
-    covered if it comes back as a whole, or if repeated substrings of ``window`` tokens
-    cover at least nine tenths of it.
+    Distinct pages are told apart by ``page_owner``. A substring counts as repeated if it
+    stands on at least two pages and on ``share`` of them; a block is covered if it comes
+    back as a whole, or if repeated substrings of ``window`` tokens cover at least nine
+    tenths of it. Besides, the boilerplate lines of the site are covered, whatever share
+    of its pages has them, but for those that ``spare`` holds for. ``lines`` are their digests
+    where ``pages`` are only a part of the site; by default they are counted here.
     """
     if not pages:
         return
+    if lines is None:
+        lines = boilerplate_lines(pages)
+    _cover_repeats(pages, share, window)
+    verdicts: dict[str, bool] = {}
+    if lines:
+        for p in pages:
+            for b in p.blocks:
+                if not b.covered and not b.links:
+                    if b.text not in verdicts:
+                        verdicts[b.text] = digest(b.text) in lines and not (spare and spare(b.text))
+                    b.covered = verdicts[b.text]
+    _cover_garbled(pages, {text for text, hit in verdicts.items() if hit and not ASCII_WORD.search(text)})
+
+
+def _cover_repeats(pages: list[Page], share: float, window: int) -> None:
+    """Cover by share; see ``repeated_blocks``."""
     owner_of: dict[str, int] = {}
-    owners = [owner_of.setdefault(p.title or repr(p.key), len(owner_of)) for p in pages]
+    owners = [owner_of.setdefault(page_owner(p), len(owner_of)) for p in pages]
     least = max(2, int(np.ceil(share * len(owner_of))))
     blocks = [b for p in pages for b in p.blocks]
     if not blocks or len(owner_of) < 2:
@@ -201,16 +284,16 @@ def repeated_blocks(pages: list[Page], share: float = SHARE, window: int = WINDO
     inside = sums[starts + lengths + 1] - sums[starts + 1]
     for block, one, two in zip(blocks, again, (inside >= 0.9 * lengths) & (lengths > 0)):
         block.covered = bool(one or two)
-    _cover_garbled(pages)
 
 
-def _cover_garbled(pages: list[Page]) -> None:
+def _cover_garbled(pages: list[Page], shapeless: set[str]) -> None:
     """Cover blocks that differ from a covered one only in characters beyond ASCII.
 
     That is asked of blocks with garbled sequences, and of pages that have none of the
     site's covered text beyond ASCII, since a page decoded wrongly shares none of it.
+    Texts in ``shapeless``, which have no ASCII word to be known by, don't count.
     """
-    shapes = {FOREIGN.sub("*", b.text) for p in pages for b in p.blocks if b.covered and not b.text.isascii()}
+    shapes = {FOREIGN.sub("*", b.text) for p in pages for b in p.blocks if b.covered and not b.text.isascii() and b.text not in shapeless}
     if not shapes:
         return
     for p in pages:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.llm.lines import media_type, site_of
-from weftline.llm.pages import Page, main_blocks, page_blocks, repeated_blocks, squeeze
+from weftline.llm.pages import ASIDE_PAGES, PAGES, Page, digest, is_long_line, line_uses, main_blocks, page_blocks, page_owner, repeated_blocks, squeeze
 from weftline.session import materialise
 
 # The ways template languages write a variable.
@@ -218,10 +218,11 @@ def cached_pages(cached: DataFrame) -> DataFrame:
 
 
 def by_site(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
-    """Adds ``site`` and ``part``: sites of more than ``block_pages`` pages are dealt into parts by page.
+    """Adds ``site``, ``part`` and ``parts``: sites of more than ``block_pages`` pages are dealt into parts by page.
 
-    What a site repeats stands on a large share of its pages, so each part shows it;
-    no task gets more than one part.
+    What a site repeats on a share of its pages stands in each part on about that share; lines
+    that are repeated by count are counted over all parts (``site_lines``). No task gets
+    more than one part. ``parts`` is null for a site of one part.
     """
     pages = pages.withColumn("site", site_name(F.col("url"), F.col("body")))
     large = materialise(
@@ -229,7 +230,7 @@ def by_site(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     )
     if large.count() <= BROADCAST_ROWS:
         large = F.broadcast(large)
-    return pages.join(large, "site", "left").withColumn("part", F.pmod(F.xxhash64("page_key"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return pages.join(large, "site", "left").withColumn("part", F.pmod(F.xxhash64("page_key"), F.coalesce("parts", F.lit(1))).cast("int"))
 
 
 def decoded(body: bytes, encoding: str | None) -> str:
@@ -242,7 +243,40 @@ def decoded(body: bytes, encoding: str | None) -> str:
     return body.decode("windows-1252", "replace")
 
 
-def contents(pages: DataFrame) -> DataFrame:
+def site_lines(dealt: DataFrame) -> DataFrame:
+    """``of_site, of_part, line``: for each part of the sites of several parts, the digests of the site's boilerplate lines.
+
+    Pages are counted once for each site and line over all parts, by plain sums over
+    distinct (site, line, page) rows; see ``pages.boilerplate_lines`` for sites of one part.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for site, body, encoding, key in zip(pdf["site"], pdf["body"], pdf["encoding"], pdf["page_key"]):
+                page = page_blocks(decoded(body, encoding), (key,))
+                owner = digest(page_owner(page))
+                rows += [(site, digest(text), owner, beside, item, is_long_line(text)) for text, (beside, item) in line_uses(page).items()]
+            yield pd.DataFrame(rows, columns=["site", "line", "owner", "beside", "item", "long"])
+
+    several = dealt.where(F.col("parts") > 1)
+    uses = several.select("site", "body", "encoding", "page_key").mapInPandas(scan, "site string, line long, owner long, beside boolean, item boolean, long boolean")
+    counted = (
+        uses.groupBy("site", "line", "owner")
+        .agg(F.bool_or("beside").alias("beside"), F.bool_or("item").alias("item"), F.bool_or("long").alias("long"))
+        .groupBy("site", "line")
+        .agg(F.count("*").alias("pages"), F.bool_or("beside").alias("beside"), F.bool_or("item").alias("item"), F.bool_or("long").alias("long"))
+    )
+    lines = counted.where((F.col("pages") >= ASIDE_PAGES) & ~F.col("item") & (F.col("beside") | (F.col("pages") >= PAGES) & F.col("long"))).select("site", "line")
+    return lines.join(several.select("site", "part").distinct(), "site").toDF("of_site", "line", "of_part")
+
+
+def is_residue(text: str) -> bool:
+    """A block that is residue for more than half: what is looked for, however often a site repeats it."""
+    return residue_length(text) > 0.5 * len(text)
+
+
+def contents(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     """``origin, page_key, site, share, template, blocks``: each page's content.
 
     ``share`` is that of residue, ``template`` a hash of the content with digits, hosts
@@ -250,9 +284,10 @@ def contents(pages: DataFrame) -> DataFrame:
     where they are that.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
         parsed = [page_blocks(decoded(b, e), (k,)) for b, e, k in zip(pdf["body"], pdf["encoding"], pdf["page_key"])]
-        repeated_blocks(parsed)
+        several = len(pdf) and pd.notna(pdf["parts"].iloc[0])
+        repeated_blocks(parsed, lines=set(lines["line"]) if several else None, spare=is_residue)
         rows = []
         for page, origin, key, site, url in zip(parsed, pdf["origin"], pdf["page_key"], pdf["site"], pdf["url"]):
             texts = content_blocks(page)
@@ -270,7 +305,8 @@ def contents(pages: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["origin", "page_key", "site", "share", "template", "blocks"])
 
     schema = "origin string, page_key string, site string, share double, template string, blocks array<string>"
-    return by_site(pages).groupBy("site", "part").applyInPandas(one, schema)
+    dealt = by_site(pages, block_pages)
+    return dealt.groupBy("site", "part").cogroup(site_lines(dealt).groupBy("of_site", "of_part")).applyInPandas(one, schema)
 
 
 def _host(url: str | None) -> str:
