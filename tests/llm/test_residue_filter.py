@@ -1,0 +1,25 @@
+"""The pre-filter of residue patterns leaves nothing out."""
+
+import random
+import re
+
+from weftline.llm import residue as R
+
+
+def test_filler_without_pattern_words_counts():
+    for text in ("test test test", "abc xyz", "Laboris nisi ut aliquip ex ea commodo consequat.", "bar baz qux", "Prove you are no machine.", "This site can`t be reached"):
+        assert R.residue_length(text) == len(text), text
+    assert R.residue_share(["Culpa officia deserunt laborum."]) == 1
+    assert R.residue_length("The red lamp is sold here. Elit olit vela elim.") == len("Elit olit vela elim.")
+
+
+def test_lengths_are_equal_without_the_filter(monkeypatch):
+    rng = random.Random(5)
+    pieces = sorted(R.FILLER_WORDS) + "the lamp is an error 404 not found {{x}} null size: prove you are human can‘t be reached javascript disabled İNTERNAL ſERVER ERROR".split()
+    # each alternative of the patterns, with what is optional or variable in it taken away
+    for pattern in (R.FILLER, R.ERROR, R.SCRIPT, R.DEFAULT):
+        pieces += [re.sub(r"\\.|[\\^$(){}\[\]?*+]", " ", p) for p in pattern.pattern.split("|")]
+    made = [" ".join(rng.choices(pieces, k=rng.randint(1, 6))) + rng.choice(["", ".", "! More of it."]) for _ in range(20_000)] + pieces
+    with_filter = [R.residue_length(t) for t in made]
+    monkeypatch.setattr(R, "triggered", lambda text: True)
+    assert with_filter == [R.residue_length(t) for t in made]

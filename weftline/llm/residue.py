@@ -45,7 +45,7 @@ ERROR = re.compile(
     r"page (?:was )?not found|\b(?:404|403|410|500|502|503|504)\b.{0,25}(?:error|not found|forbidden|gone|unavailable|gateway|time-?out)|(?:error|fehler|erreur|erro|błąd|chyba|ошибка|σφάλμα|エラー)\s*:?\s*\d{3}\b"
     r"|does not exist or has moved|check the address or go back|gateway time-?out|bad gateway|upstream (?:host|server)|went wrong on our side|gibt es leider nicht mehr|unhandled exception|^too many requests|requested url .{0,80} was not found|taken down by|incident id|sent more than \d+ calls|server took too long|try again (?:in \d+|later)|database error|sqlstate\[|query was not executed"
     r"|service (?:is )?(?:temporarily )?unavailable|doing maintenance|be back shortly|traceback \(most recent|fatal error|uncaught \w*error|access (?:is )?denied|do not have permission"
-    r"|login required|session has (?:run out|expired)|sign in again|token expired|log in again|are you a robot|verify (?:that )?you are (?:a )?human|prove you are|checking your browser|unusual (?:traffic|number)"
+    r"|login required|session has (?:run out|expired)|prove you are|sign in again|token expired|log in again|are you a robot|verify (?:that )?you are (?:a )?human|prove you are|checking your browser|unusual (?:traffic|number)"
     r"|nothing here|address leads nowhere|item was sold out and removed|internal server error|too many requests|rate limit|forbidden|no longer available|page introuvable|n’existe plus ou a changé"
     r"|página no encontrada|ya no está disponible|página não encontrada|seite (?:wurde )?nicht gefunden|nicht mehr (?:verfügbar|erreichbar)|страница не найдена|не существует|stránka nenalezena"
     r"|nie znaleziono strony|strona nie istnieje|η σελίδα δεν βρέθηκε|ページが見つかりません|お探しのページ|connection (?:refused|timed out)|could not be displayed|cannot be reached|this site can.t be reached"
@@ -68,16 +68,17 @@ WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*\s*")
 
 
-# Each pattern above needs one of these in its text, in lower case. They are looked for all at once.
+# Each pattern above needs one of these in its text, in lower case; the share of filler words is asked
+# for besides. They are looked for all at once.
 TRIGGERS = (
     "{|<%|@@|%|*||[|__|undefined|nan|null|none|n/a|tbd|todo|fixme|xxx|#ref!|#value!|lorem|ipsum|dolor sit|consectetur|sed do|ut labore|your text|replace this|sample|write a short"
     "|describe your|item description|content block|heading goes|placeholder|title of the article|texte|remplacer|dummy|blindtext|platzhalter|der richtige|texto de|zastępczy|coming soon"
     "|under construction|untitled|hello world|quis nostrud|ullamco|duis aute|excepteur|cupidatat|fugiat|velit esse|magna aliqua|incididunt|minim veniam|mollit|umbrae|quandem|mattis|sapienda"
     "|cultor|tristo|ventor|ferrum|vestra|morbis|nuncia|viverra|tetur|lacrum|praet|adipis|consec|blah|asdf|qwert|yxcv|hjkl|foo|not found|404|403|410|500|502|503|504|error|fehler|erreur"
     "|erro|błąd|chyba|ошибка|σφάλμα|エラー|does not exist|check the address|time-out|timeout|gateway|took too long|try again|sqlstate|not executed|unavailable|maintenance|be back"
-    "|traceback|fatal|uncaught|denied|permission|login required|session has|sign in again|token expired|log in again|robot|verify|human|checking your|unusual|nothing here|leads nowhere|sold out"
+    "|traceback|fatal|uncaught|denied|permission|login required|session has|prove you are|sign in again|token expired|log in again|robot|verify|human|checking your|unusual|nothing here|leads nowhere|sold out"
     "|too many|rate limit|forbidden|no longer available|introuvable|n’existe plus|no encontrada|no está disponible|não encontrada|nicht gefunden|gibt es leider|nicht mehr|не найдена|не существует|nenalezena"
-    "|nie znaleziono|nie istnieje|δεν βρέθηκε|見つかりません|お探しの|connection|could not be displayed|cannot be reached|can’t be reached|can't be reached|wartungsarbeiten|mantenimiento|manutenção"
+    "|nie znaleziono|nie istnieje|δεν βρέθηκε|見つかりません|お探しの|connection|could not be displayed|cannot be reached|t be reached|wartungsarbeiten|mantenimiento|manutenção"
     "|verweigert|refusé|denegado|negado|запрещ|site is down|suspended|upstream|wrong on our|unhandled|requested url|taken down|incident id|calls|script"
 )
 
@@ -97,13 +98,24 @@ MACHINE = _automaton()
 
 
 def triggered(text: str) -> bool:
-    return next(MACHINE.iter(text.lower()), None) is not None
+    """False only where no pattern can match; filler is told by the share of its words besides."""
+    low = text.lower()
+    if not low.isascii():
+        # what the patterns take for i and s in any letter case
+        low = low.replace("ı", "i").replace("i\u0307", "i").replace("ſ", "s")
+    return next(MACHINE.iter(low), None) is not None
+
+
+def filler_words(text: str) -> tuple[int, int]:
+    """How many words of a text are filler, and how many it has."""
+    words = WORD.findall(text.lower())
+    return sum(map(FILLER_WORDS.__contains__, words)), len(words)
 
 
 def residue_length(text: str) -> int:
     """How many characters of a block are residue."""
     bare = text.strip()
-    if not triggered(bare):
+    if not triggered(bare) and filler_words(bare)[0] < 2:
         return 0
     rest = DEFAULT.sub("", SLOT.sub("", bare))
     if rest != bare:
@@ -113,10 +125,12 @@ def residue_length(text: str) -> int:
     total = 0
     sentences = SENTENCE.findall(bare) or [bare]
     for s in sentences:
-        if len(sentences) > 1 and not triggered(s):
+        filler, words = filler_words(s)
+        if words > 1 and filler >= 0.7 * words:
+            total += len(s)
+        elif len(sentences) > 1 and not triggered(s):
             continue
-        words = WORD.findall(s.lower())
-        if FILLER.search(s) or ERROR.search(s) or SCRIPT.search(s) or len(words) > 1 and sum(w in FILLER_WORDS for w in words) >= 0.7 * len(words):
+        elif FILLER.search(s) or ERROR.search(s) or SCRIPT.search(s):
             total += len(s)
         else:
             total += sum(len(m[0]) for m in SLOT.finditer(s))
@@ -134,7 +148,8 @@ def content_blocks(page: Page) -> list[str]:
 def residue_share(texts: list[str]) -> float:
     """The share of the content's characters that is residue; 0 without content."""
     size = sum(map(len, texts))
-    if not size or not triggered(" ".join(texts)):
+    joined = " ".join(texts)
+    if not size or not triggered(joined) and filler_words(joined)[0] < 2:
         return 0.0
     return sum(map(residue_length, texts)) / size
 
@@ -224,7 +239,8 @@ def by_site(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     that are repeated by count are counted over all parts (``site_lines``). No task gets
     more than one part. ``parts`` is null for a site of one part.
     """
-    pages = pages.withColumn("site", site_name(F.col("url"), F.col("body")))
+    # written once: the site is read from the whole body, and the pages are gone through three times
+    pages = materialise(pages.withColumn("site", site_name(F.col("url"), F.col("body"))), "site-pages")
     large = materialise(
         pages.groupBy("site").count().where(F.col("count") > block_pages).select("site", F.ceil(F.col("count") / block_pages).cast("int").alias("parts")), "large-sites"
     )
@@ -253,22 +269,22 @@ def site_lines(dealt: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for site, body, encoding, key in zip(pdf["site"], pdf["body"], pdf["encoding"], pdf["page_key"]):
+            for site, parts, body, encoding, key in zip(pdf["site"], pdf["parts"], pdf["body"], pdf["encoding"], pdf["page_key"]):
                 page = page_blocks(decoded(body, encoding), (key,))
                 owner = digest(page_owner(page))
-                rows += [(site, digest(text), owner, beside, item, is_long_line(text)) for text, (beside, item) in line_uses(page).items()]
-            yield pd.DataFrame(rows, columns=["site", "line", "owner", "beside", "item", "long"])
+                rows += [(site, parts, digest(text), owner, beside, item, is_long_line(text)) for text, (beside, item) in line_uses(page).items()]
+            yield pd.DataFrame(rows, columns=["site", "parts", "line", "owner", "beside", "item", "long"])
 
-    several = dealt.where(F.col("parts") > 1)
-    uses = several.select("site", "body", "encoding", "page_key").mapInPandas(scan, "site string, line long, owner long, beside boolean, item boolean, long boolean")
+    several = dealt.where(F.col("parts") > 1).select("site", "parts", "body", "encoding", "page_key")
+    uses = several.mapInPandas(scan, "site string, parts int, line long, owner long, beside boolean, item boolean, long boolean")
     counted = (
-        uses.groupBy("site", "line", "owner")
+        uses.groupBy("site", "parts", "line", "owner")
         .agg(F.bool_or("beside").alias("beside"), F.bool_or("item").alias("item"), F.bool_or("long").alias("long"))
-        .groupBy("site", "line")
+        .groupBy("site", "parts", "line")
         .agg(F.count("*").alias("pages"), F.bool_or("beside").alias("beside"), F.bool_or("item").alias("item"), F.bool_or("long").alias("long"))
     )
-    lines = counted.where((F.col("pages") >= ASIDE_PAGES) & ~F.col("item") & (F.col("beside") | (F.col("pages") >= PAGES) & F.col("long"))).select("site", "line")
-    return lines.join(several.select("site", "part").distinct(), "site").toDF("of_site", "line", "of_part")
+    lines = counted.where((F.col("pages") >= ASIDE_PAGES) & ~F.col("item") & (F.col("beside") | (F.col("pages") >= PAGES) & F.col("long")))
+    return lines.select(F.col("site").alias("of_site"), "line", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of_part"))
 
 
 def is_residue(text: str) -> bool:
