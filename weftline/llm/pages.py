@@ -49,6 +49,8 @@ ASIDE_WORDS = 4
 WORDS = 7
 ASCII_WORD = re.compile(r"[A-Za-z0-9]")
 LETTERS = re.compile(r"[^\W\d_]+")
+DIGITS = re.compile(r"\d+")
+OWN_BLOCKS = 3
 BESIDE = frozenset("aside nav footer".split())
 ITEMS = frozenset("li dt dd td th blockquote pre code figcaption".split())
 
@@ -174,8 +176,16 @@ def distinct_owners(groups: np.ndarray, owners: np.ndarray) -> np.ndarray:
 
 
 def page_owner(page: Page) -> str:
-    """What distinct pages are told apart by: pages of the same title are one page (a repeated fetch, a mirror)."""
-    return page.title or repr(page.key)
+    """What distinct pages are told apart by: title, first h1 and the OWN_BLOCKS longest blocks without links.
+
+    A repeated fetch or a mirror is the same page, though its menus, dates and numbers may
+    differ; pages of one title with other texts are not. What only its characters beyond
+    ASCII tell apart is the same page, decoded wrongly.
+    """
+    heading = next((b.text for b in page.blocks if "h1" in b.tags), "")
+    longest = sorted({b.text for b in page.blocks if not b.links and BESIDE.isdisjoint(b.tags)}, key=lambda t: (-len(t), t))[:OWN_BLOCKS]
+    parts = [page.title, heading, *sorted(DIGITS.sub("0", t) for t in longest)]
+    return FOREIGN.sub("*", "\n".join(parts)) if page.blocks else repr(page.key)
 
 
 def digest(text: str) -> int:
@@ -206,12 +216,11 @@ def is_long_line(text: str) -> bool:
     return len(LETTERS.findall(text)) >= WORDS and not any(map(str.isdigit, text))
 
 
-def boilerplate_lines(pages: list[Page]) -> set[int]:
+def boilerplate_lines(pages: list[Page], owners_of: list[str]) -> set[int]:
     """Digests of the lines of a whole site that stand on enough distinct pages of it; never more for a larger site."""
     owners: dict[str, set[str]] = {}
     marks: dict[str, tuple[bool, bool]] = {}
-    for p in pages:
-        owner = page_owner(p)
+    for p, owner in zip(pages, owners_of):
         for text, (beside, item) in line_uses(p).items():
             owners.setdefault(text, set()).add(owner)
             was = marks.get(text, (False, False))
@@ -235,9 +244,10 @@ def repeated_blocks(pages: list[Page], share: float = SHARE, window: int = WINDO
     """
     if not pages:
         return
+    owners_of = [page_owner(p) for p in pages]
     if lines is None:
-        lines = boilerplate_lines(pages)
-    _cover_repeats(pages, share, window)
+        lines = boilerplate_lines(pages, owners_of)
+    _cover_repeats(pages, owners_of, share, window)
     verdicts: dict[str, bool] = {}
     if lines:
         for p in pages:
@@ -249,10 +259,10 @@ def repeated_blocks(pages: list[Page], share: float = SHARE, window: int = WINDO
     _cover_garbled(pages, {text for text, hit in verdicts.items() if hit and not ASCII_WORD.search(text)})
 
 
-def _cover_repeats(pages: list[Page], share: float, window: int) -> None:
+def _cover_repeats(pages: list[Page], owners_of: list[str], share: float, window: int) -> None:
     """Cover by share; see ``repeated_blocks``."""
     owner_of: dict[str, int] = {}
-    owners = [owner_of.setdefault(page_owner(p), len(owner_of)) for p in pages]
+    owners = [owner_of.setdefault(o, len(owner_of)) for o in owners_of]
     least = max(2, int(np.ceil(share * len(owner_of))))
     blocks = [b for p in pages for b in p.blocks]
     if not blocks or len(owner_of) < 2:
