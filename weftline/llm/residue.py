@@ -5,7 +5,7 @@ are what is left of a page. A slot's text is residue where it keeps a variable's
 in the syntax of a template language, a default of a script language, filler text, a
 blank, an error message, or a demand to allow scripts. A page whose whole content,
 digits and hosts aside, comes back on several sites is an error template of its own,
-whatever its words. A page is a case if more than half of its content's characters are residue.
+if an error status, residue words or its heading confirm it. A page is a case if more than half of its content's characters are residue.
 """
 
 from __future__ import annotations
@@ -65,6 +65,12 @@ FILLER_WORDS = frozenset(
     " viverra elim tetur lacrum praet blah bla foo bar baz qux asdf qwertz qwerty yxcv hjkl jkl test xxx xyz abc".split()
 )
 WORD = re.compile(r"\w+")
+# The reason phrases of error statuses, as a block of their own.
+REASON = re.compile(
+    r"(?:\d{3}\W+)?(?:bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|request timeout|conflict|gone|precondition failed|too many requests"
+    r"|internal server error|not implemented|bad gateway|service unavailable|gateway timeout)\W*",
+    re.I,
+)
 SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*\s*")
 
 
@@ -154,6 +160,16 @@ def residue_share(texts: list[str]) -> float:
     return sum(map(residue_length, texts)) / size
 
 
+def is_message(texts: list[str], share: float, status: float | None = None) -> bool:
+    """Whether a content shows itself an error message, by an error status, a good part of residue words or its heading.
+
+    A heading counts only above a short text, since articles tell of errors too.
+    """
+    if status is not None and status >= 400 or share >= MESSAGE_SHARE:
+        return True
+    return bool(texts) and sum(map(len, texts)) <= MESSAGE_LENGTH and (bool(REASON.fullmatch(texts[0])) or is_residue(texts[0]))
+
+
 def template_key(texts: list[str], host: str = "") -> str:
     """The content with digits, hosts and paths left out, which an error template repeats from site to site."""
     text = " | ".join(texts).replace(host, "*") if host else " | ".join(texts)
@@ -199,8 +215,12 @@ def json_is_residue(source: str) -> bool:
 BLOCK_PAGES = 1000
 #: Up to so many rows a side is broadcast; beyond it is joined by shuffle.
 BROADCAST_ROWS = 100_000
-#: A whole content on so many sites is an error template.
+#: A whole content on so many sites is an error template, if on this share of its pages it shows itself a message:
+#: by the status, by this share of residue, or by its heading above a text up to this length.
 TEMPLATE_SITES = 3
+MESSAGES = 0.3
+MESSAGE_SHARE = 0.2
+MESSAGE_LENGTH = 400
 
 
 def site_name(url: Column, body: Column) -> Column:
@@ -214,9 +234,14 @@ def site_name(url: Column, body: Column) -> Column:
 
 
 def response_pages(responses: DataFrame) -> DataFrame:
-    """``origin, page_key, url, encoding, body`` of the HTML responses with a body."""
+    """``origin, page_key, url, status, encoding, body`` of the HTML responses with a body."""
     html_ = responses.where(F.col("response_id").isNotNull() & (media_type(F.col("headers")) == "text/html") & (F.octet_length("body") > 0))
-    return html_.select(F.lit("responses").alias("origin"), F.col("response_id").cast("string").alias("page_key"), "url", "encoding", "body")
+    return html_.select(F.lit("responses").alias("origin"), F.col("response_id").cast("string").alias("page_key"), "url", status_of(responses), "encoding", "body")
+
+
+def status_of(table: DataFrame) -> Column:
+    """The HTTP status; null where the table has none."""
+    return (F.col("status") if "status" in table.columns else F.lit(None)).cast("int").alias("status")
 
 
 def from_base64(text: Column) -> Column:
@@ -228,7 +253,7 @@ def from_base64(text: Column) -> Column:
 
 def cached_pages(cached: DataFrame) -> DataFrame:
     html_ = cached.where(F.col("fingerprint").isNotNull() & (media_type(F.col("headers")) == "text/html"))
-    pages = html_.select(F.lit("cached_responses").alias("origin"), F.col("fingerprint").alias("page_key"), "url", "encoding", from_base64(F.col("content_base64")).alias("body"))
+    pages = html_.select(F.lit("cached_responses").alias("origin"), F.col("fingerprint").alias("page_key"), "url", status_of(cached), "encoding", from_base64(F.col("content_base64")).alias("body"))
     return pages.where(F.octet_length("body") > 0)
 
 
@@ -293,9 +318,9 @@ def is_residue(text: str) -> bool:
 
 
 def contents(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
-    """``origin, page_key, site, share, template, blocks``: each page's content.
+    """``origin, page_key, site, share, message, template, blocks``: each page's content.
 
-    ``share`` is that of residue, ``template`` a hash of the content with digits, hosts
+    ``share`` is that of residue, ``message`` says whether it is an error message by itself, ``template`` a hash of the content with digits, hosts
     and paths left out, ``blocks`` the MD5 of each main block. Pages are read as UTF-8
     where they are that.
     """
@@ -305,22 +330,24 @@ def contents(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
         several = len(pdf) and pd.notna(pdf["parts"].iloc[0])
         repeated_blocks(parsed, lines=set(lines["line"]) if several else None, spare=is_residue)
         rows = []
-        for page, origin, key, site, url in zip(parsed, pdf["origin"], pdf["page_key"], pdf["site"], pdf["url"]):
+        for page, origin, key, site, url, status in zip(parsed, pdf["origin"], pdf["page_key"], pdf["site"], pdf["url"], pdf["status"]):
             texts = content_blocks(page)
+            share = residue_share(texts)
             template = template_key(texts, _host(url))
             rows.append(
                 (
                     origin,
                     key,
                     site,
-                    residue_share(texts),
+                    share,
+                    is_message(texts, share, status if pd.notna(status) else None),
                     hashlib.md5(template.encode("utf-8", "replace")).hexdigest() if texts else None,
                     [hashlib.md5(t.encode("utf-8", "replace")).hexdigest() for t in dict.fromkeys(texts)],
                 )
             )
-        return pd.DataFrame(rows, columns=["origin", "page_key", "site", "share", "template", "blocks"])
+        return pd.DataFrame(rows, columns=["origin", "page_key", "site", "share", "message", "template", "blocks"])
 
-    schema = "origin string, page_key string, site string, share double, template string, blocks array<string>"
+    schema = "origin string, page_key string, site string, share double, message boolean, template string, blocks array<string>"
     dealt = by_site(pages, block_pages)
     return dealt.groupBy("site", "part").cogroup(site_lines(dealt).groupBy("of_site", "of_part")).applyInPandas(one, schema)
 
@@ -333,9 +360,13 @@ def _host(url: str | None) -> str:
 
 
 def error_templates(found: DataFrame, sites: int = TEMPLATE_SITES) -> DataFrame:
-    """``template`` of the contents that come back on at least ``sites`` sites."""
-    pairs = found.where(F.col("template").isNotNull()).select("template", "site").distinct()
-    return pairs.groupBy("template").count().where(F.col("count") >= sites).select("template")
+    """``template`` of the contents that come back on at least ``sites`` sites and are messages on a good part of their pages.
+
+    Without the second an article or press text that several sites carry would be one.
+    """
+    by_sites = found.where(F.col("template").isNotNull()).groupBy("template", "site").agg(F.count("*").alias("pages"), F.count_if("message").alias("messages"))
+    counted = by_sites.groupBy("template").agg(F.count("*").alias("sites"), F.sum("pages").alias("pages"), F.sum("messages").alias("messages"))
+    return counted.where((F.col("sites") >= sites) & (F.col("messages") >= MESSAGES * F.col("pages"))).select("template")
 
 
 def with_cases(found: DataFrame) -> DataFrame:
@@ -354,7 +385,7 @@ def residue_responses(responses: DataFrame) -> DataFrame:
     other or no content type, with empty or null bodies or null ids, and pages without
     any content are no cases.
     """
-    found = materialise(contents(response_pages(responses)).select("page_key", "site", "share", "template"), "contents")
+    found = materialise(contents(response_pages(responses)).select("page_key", "site", "share", "message", "template"), "contents")
     pages = with_cases(found).where("residue").select(F.col("page_key").cast("long").alias("response_id"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
