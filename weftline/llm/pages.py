@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -193,16 +194,17 @@ def digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def line_uses(page: Page) -> dict[str, tuple[bool, bool]]:
+def line_uses(page: Page, among: set[str] | None = None) -> dict[str, tuple[bool, bool]]:
     """The lines of a page that a count of pages can make boilerplate, with ``beside`` and ``item``.
 
     Left out are lines with links, and short or numeric ones, which pages share by chance.
     ``beside``: it stands in an aside, a menu or a footer. ``item``: it stands outside of
-    these as a list's item, a cell, a quote or code, as only content does.
+    these as a list's item, a cell, a quote or code, as only content does. ``among``: the lines
+    to look at, where others are known not to come back.
     """
     out: dict[str, tuple[bool, bool]] = {}
     for b in page.blocks:
-        if b.links or len(LETTERS.findall(b.text)) < ASIDE_WORDS:
+        if b.links or among is not None and b.text not in among or len(LETTERS.findall(b.text)) < ASIDE_WORDS:
             continue
         beside = not BESIDE.isdisjoint(b.tags)
         item = not beside and not ITEMS.isdisjoint(b.tags)
@@ -220,8 +222,10 @@ def boilerplate_lines(pages: list[Page], owners_of: list[str]) -> set[int]:
     """Digests of the lines of a whole site that stand on enough distinct pages of it; never more for a larger site."""
     owners: dict[str, set[str]] = {}
     marks: dict[str, tuple[bool, bool]] = {}
+    seen = Counter(text for p in pages for text in {b.text for b in p.blocks if not b.links})
+    again = {text for text, n in seen.items() if n >= ASIDE_PAGES}
     for p, owner in zip(pages, owners_of):
-        for text, (beside, item) in line_uses(p).items():
+        for text, (beside, item) in line_uses(p, again).items():
             owners.setdefault(text, set()).add(owner)
             was = marks.get(text, (False, False))
             marks[text] = (was[0] or beside, was[1] or item)

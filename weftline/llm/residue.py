@@ -118,10 +118,15 @@ def filler_words(text: str) -> tuple[int, int]:
     return sum(map(FILLER_WORDS.__contains__, words)), len(words)
 
 
-def residue_length(text: str) -> int:
-    """How many characters of a block are residue."""
+def filler_pair(text: str) -> bool:
+    """Whether two filler words follow each other, as they do in each sentence of which 70 % of two words or more are filler."""
+    return b"\1\1" in bytes(map(FILLER_WORDS.__contains__, WORD.findall(text.lower())))
+
+
+def residue_length(text: str, pairs: bool = True) -> int:
+    """How many characters of a block are residue. ``pairs`` is false where no filler words follow each other."""
     bare = text.strip()
-    if not triggered(bare) and filler_words(bare)[0] < 2:
+    if not triggered(bare) and not (pairs and filler_pair(bare)):
         return 0
     rest = DEFAULT.sub("", SLOT.sub("", bare))
     if rest != bare:
@@ -155,9 +160,10 @@ def residue_share(texts: list[str]) -> float:
     """The share of the content's characters that is residue; 0 without content."""
     size = sum(map(len, texts))
     joined = " ".join(texts)
-    if not size or not triggered(joined) and filler_words(joined)[0] < 2:
+    pairs = filler_pair(joined)
+    if not size or not pairs and not triggered(joined):
         return 0.0
-    return sum(map(residue_length, texts)) / size
+    return sum(residue_length(t, pairs) for t in texts) / size
 
 
 def is_message(texts: list[str], share: float, status: float | None = None) -> bool:
