@@ -48,6 +48,11 @@ def p5_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.RepeatedLines(table(spark, sf_dir, "responses"), table(spark, sf_dir, "requests")).cleaned()
 
 
+def p5_cleaned_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned of the lines of different documents and days alone, so that a republished article stays whole."""
+    return lines.RepeatedLines(table(spark, sf_dir, "responses"), table(spark, sf_dir, "requests"), min_clusters=2, min_days=2).cleaned()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.Encoder(_texts(spark, sf_dir)).ids()
 
@@ -84,7 +89,7 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(documents, reading.fitted(documents, table(spark, sf_dir, "reading_labels")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_repaired, p4_found, p4_error_rate, p5_found, p5_cleaned, p6_ids, p6_decoded, p7_packing, p7_fill, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_repaired, p4_found, p4_error_rate, p5_found, p5_cleaned, p5_cleaned_boilerplate, p6_ids, p6_decoded, p7_packing, p7_fill, p8_found, p8_levels)}
 
 _FINGERPRINT = (
     """lower(coalesce(fingerprint, sha1('{"body":"' || coalesce(lower(hex(case when json_type(session_kwargs::json, '$.data') = 'VARCHAR' then session_kwargs::json->>'data'"""
