@@ -9,11 +9,11 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("broadcast_words", [K.BROADCAST_WORDS, 0])
-def test_ids_are_those_of_the_library(spark, broadcast_words):
+@pytest.mark.parametrize("hot_keys", [K.HOT_KEYS, 20, 0])
+def test_ids_are_those_of_the_library(spark, hot_keys):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "no id", None)], "doc_id long, text string, words string")
     encode = K.native(K.vocabulary_path()).encode_ordinary
-    encoded = K.Encoder(df, broadcast_words=broadcast_words).ids().cache()
+    encoded = K.Encoder(df, hot_keys=hot_keys).ids().cache()
     got = {r.doc_id: r.ids for r in encoded.collect()}
     assert got == {i: encode(t or "") for i, t in enumerate(TEXTS)}
     back = {r.doc_id: r.text for r in K.decode_ids(encoded).collect()}
