@@ -405,8 +405,9 @@ class Encoder:
 
             return self.documents.mapInArrow(scan, ID_SCHEMA)
 
-        size = int(self.documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-        groups = max(shuffle_partitions(self.spark), -(-size // GROUP_BYTES))
+        size = int(str(self.documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        # no more groups than documents: the size of tables that aren't files is unknown, and taken for enormous
+        groups = max(shuffle_partitions(self.spark), min(-(-size // GROUP_BYTES), self.documents.count()))
         dealt = self.documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("group_no"), "doc_id", "text")
         asked = _keys_in(dealt, "group_no").select("group_no", "key").distinct()
         rare = asked.join(hot.select("key"), "key", "left_anti").join(vocabulary.select("key", "ids"), "key")
