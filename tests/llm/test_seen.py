@@ -47,9 +47,9 @@ def test_against_brute_force(spark, geometry):
 def test_collisions_are_counted_and_never_lose_a_key(spark, monkeypatch):
     requests, seen, _ = tables(spark)
     tiny = S.Geometry(1, local_bits=1)
-    tiny.fused = lambda hashed: F.lit(1).cast("long")  # every key collides
+    tiny.fused = lambda fingerprint: F.lit(1).cast("long")  # every key collides
     report = S.error_report(requests, seen, tiny).first()
-    assert report.wrong_answers == report.new_keys - 0 and report.measured_rate == 1.0
+    assert report.wrong_answers == report.new_requests and report.measured_rate == 1.0
     exact = {r.request_id for r in S.seen_requests(requests, seen).collect()}
     assert {r.request_id for r in S.seen_requests(requests, seen, tiny).collect()} == exact
 
@@ -57,7 +57,7 @@ def test_collisions_are_counted_and_never_lose_a_key(spark, monkeypatch):
 def test_rates(spark):
     requests, seen, _ = tables(spark)
     report = S.error_report(requests, seen).first()
-    assert report.wrong_answers == 0 and 0 < report.derived_rate < 1e-9 and report.asked_keys == 51
+    assert report.wrong_answers == 0 and 0 < report.derived_rate < 1e-9 and report.asked_requests == 122 and report.new_requests == 49
     g = S.Geometry(1 << 30)
     assert abs(g.wrong_rate(1 << 20) - (1 << 20) / 2.0**g.bits) < 1e-9
 
@@ -69,3 +69,26 @@ def test_empty_tables(spark):
     assert S.error_report(requests.limit(0), seen.limit(0)).first().measured_rate is None
     nulls = spark.createDataFrame([(None,) * 8], REQUESTS)
     assert S.seen_requests(nulls, seen).count() == 0
+
+
+def test_the_filter_decides_what_is_checked(spark, monkeypatch):
+    """A filter that says maybe to all gives the same rows, but all keys go to the exact check."""
+    requests, seen, _ = tables(spark)
+    asked, real = [], S.confirmed
+    monkeypatch.setattr(S, "confirmed", lambda maybe, seen: (asked.append(maybe.count()), real(maybe, seen))[1])
+    exact = sorted(r.request_id for r in S.seen_requests(requests, seen).collect())
+    monkeypatch.setattr(S, "contains", lambda stored, asked: np.ones(len(asked), dtype=bool))
+    assert sorted(r.request_id for r in S.seen_requests(requests, seen).collect()) == exact
+    assert asked[0] == 2 and asked[1] == 51
+
+
+def test_filters_stay_between_runs(spark, tmp_path):
+    _, seen, key = tables(spark)
+    store = S.FilterStore(spark, str(tmp_path / "filters"), S.Geometry(1 << 20))
+    store.add(seen.where("checkpoint_no = 1"))
+    store.add(seen.where("checkpoint_no = 2"))
+    assert sum(r.n for r in store.merged().collect()) == 2
+
+
+def test_blocks_stay_small_beyond_two_billion_keys():
+    assert [S.Geometry(1 << n).block_bits for n in (10, 31, 40)] == [0, 15, 24]

@@ -4,7 +4,7 @@ A key's hash is cut into a *quotient* (its leading bits) and a *remainder* (the
 bits after them). The quotient is never stored: it follows from the place of a
 remainder. The leading bits of the quotient name a *block*; each block is one row
 
-    block int, n int, occupied binary, run_ends binary, remainders binary
+    block long, n int, occupied binary, run_ends binary, remainders binary
 
 where ``occupied`` has one bit for each quotient of the block, ``run_ends`` one bit
 for each remainder (1 closes the run of a quotient) and ``remainders`` holds the
@@ -23,11 +23,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from weftline.operators.crawl import fingerprint as request_fingerprint
+from weftline.session import materialise
 
 REMAINDER_BITS = 32
 KEYS_PER_BLOCK = 1 << 16
-FILTER_SCHEMA = "block int, n int, occupied binary, run_ends binary, remainders binary"
+FILTER_SCHEMA = "block long, n int, occupied binary, run_ends binary, remainders binary"
 
 
 # --- the packed form of one block ------------------------------------------------
@@ -80,27 +83,27 @@ def contains(stored: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 
 class Geometry:
-    """How a 63-bit hash is cut: ``block_bits`` + ``local_bits`` = quotient, then the remainder.
+    """How two hashes of a key are cut: ``block_bits`` + ``local_bits`` of the first are the quotient, 32 of the second the remainder.
 
     ``keys`` is the expected number of keys; it fixes the number of blocks, so that a
-    block holds about ``KEYS_PER_BLOCK`` keys however many keys there are.
+    block holds about ``KEYS_PER_BLOCK`` keys up to 2**62 keys. Filters of one geometry
+    can be merged.
     """
 
     def __init__(self, keys: int, keys_per_block: int = KEYS_PER_BLOCK, local_bits: int = 16):
-        self.block_bits = min(63 - local_bits - REMAINDER_BITS, max(0, math.ceil(math.log2(max(1, keys) / keys_per_block))))
+        self.block_bits = min(63 - local_bits, max(0, math.ceil(math.log2(max(1, keys) / keys_per_block))))
         self.local_bits = local_bits
         self.bits = self.block_bits + local_bits + REMAINDER_BITS
 
-    def hash(self, fingerprint: Column) -> Column:
-        """63 bits of the key. Keys are SHA-1 digests in production; hashing again makes any key uniform."""
-        return F.shiftrightunsigned(F.xxhash64(fingerprint), 1)
-
-    def block(self, hashed: Column) -> Column:
-        return F.shiftright(hashed, 63 - self.block_bits).cast("int") if self.block_bits else F.lit(0)
+    def block(self, fingerprint: Column) -> Column:
+        """Keys are SHA-1 digests in production; hashing again makes any key uniform."""
+        return F.shiftrightunsigned(F.xxhash64(fingerprint), 64 - self.block_bits) if self.block_bits else F.lit(0).cast("long")
 
-    def fused(self, hashed: Column) -> Column:
+    def fused(self, fingerprint: Column) -> Column:
         """Quotient within the block and remainder, as one number of local_bits + 32 bits."""
-        return F.shiftright(hashed, 63 - self.bits).bitwiseAND(F.lit((1 << (self.local_bits + REMAINDER_BITS)) - 1))
+        quotient = F.shiftrightunsigned(F.xxhash64(fingerprint), 64 - self.block_bits - self.local_bits).bitwiseAND(F.lit((1 << self.local_bits) - 1).cast("long"))
+        remainder = F.xxhash64(fingerprint, F.lit(1)).bitwiseAND(F.lit((1 << REMAINDER_BITS) - 1).cast("long"))
+        return F.shiftleft(quotient, REMAINDER_BITS).bitwiseOR(remainder)
 
     def wrong_rate(self, stored: int) -> float:
         """Derived probability that a new key is called seen with ``stored`` distinct keys in the filter."""
@@ -117,12 +120,8 @@ def build_filter(keys: DataFrame, geometry: Geometry, *by: str) -> DataFrame:
     made distinct before the shuffle, so a key that fills a third of all rows costs
     one row for each task.
     """
-    rows = (
-        keys.where(F.col("fingerprint").isNotNull())
-        .select(*by, geometry.hash(F.col("fingerprint")).alias("_h"))
-        .select(*by, geometry.block(F.col("_h")).alias("block"), geometry.fused(F.col("_h")).alias("_f"))
-        .distinct()
-    )
+    key = F.col("fingerprint")
+    rows = keys.where(key.isNotNull()).select(*by, geometry.block(key).alias("block"), geometry.fused(key).alias("_f")).distinct()
     local_bits = geometry.local_bits
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -145,63 +144,41 @@ def merge_filters(filters: DataFrame, geometry: Geometry) -> DataFrame:
     return filters.select("block", "n", "occupied", "run_ends", "remainders").groupBy("block").applyInPandas(one, FILTER_SCHEMA)
 
 
-def probe(filters: DataFrame, firsts: DataFrame, geometry: Geometry) -> DataFrame:
-    """Ask the merged filter about the first use of each key, in the order of ``enqueue_no``.
+class FilterStore:
+    """Packed filters that stay between runs, in a parquet table: the keys of a checkpoint are hashed once."""
+
+    def __init__(self, spark: SparkSession, path: str, geometry: Geometry):
+        self.spark, self.path, self.geometry = spark, path, geometry
+
+    def add(self, keys: DataFrame) -> None:
+        """``checkpoint_no, fingerprint`` of new checkpoints."""
+        build_filter(keys, self.geometry, "checkpoint_no").write.mode("append").parquet(self.path)
+
+    def merged(self) -> DataFrame:
+        """One filter of all checkpoints added so far."""
+        return merge_filters(self.spark.read.schema("checkpoint_no int, " + FILTER_SCHEMA).parquet(self.path), self.geometry)
+
+
+def probe(filters: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (with ``block`` and ``_f``) with ``in_filter``: whether the filter has the quotient and remainder.
 
-    ``firsts``: one row for each key with ``fingerprint``, ``enqueue_no`` and
-    ``request_id`` of its first use. Adds ``maybe_seen``: true if the filter, or an
-    earlier key of the stream, has the same quotient and remainder. Each block also
-    takes in the stream's own keys, so the state of a block is its packed runs alone.
+    The state of a task is one block's packed runs. Blocks without a filter have nothing.
     """
-    rows = firsts.withColumn("_h", geometry.hash(F.col("fingerprint"))).select(
-        geometry.block(F.col("_h")).alias("block"), geometry.fused(F.col("_h")).alias("_f"), "fingerprint", "enqueue_no", "request_id"
-    )
+    schema = asked.withColumn("in_filter", F.lit(True)).schema
+    names = asked.columns
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         stored = merge_sorted([unpack(*r) for r in zip(left["n"], left["occupied"], left["run_ends"], left["remainders"])])
-        right = right.sort_values(["enqueue_no", "request_id"])
-        asked = right["_f"].to_numpy().astype(np.uint64)
-        seen = contains(stored, asked) | pd.Series(asked).duplicated().to_numpy()
-        return pd.DataFrame({"fingerprint": right["fingerprint"], "enqueue_no": right["enqueue_no"], "request_id": right["request_id"], "maybe_seen": seen})
+        out = right[names].copy()
+        out["in_filter"] = contains(stored, right["_f"].to_numpy().astype(np.uint64))
+        return out
 
-    return (
-        filters.groupBy("block")
-        .cogroup(rows.groupBy("block"))
-        .applyInPandas(one, "fingerprint binary, enqueue_no long, request_id long, maybe_seen boolean")
-    )
+    return filters.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(one, schema)
 
 
 # --- the question over requests --------------------------------------------------
 
 
-def request_fingerprint(url: Column, sid: Column, session_kwargs: Column) -> Column:
-    """SHA-1 digest (binary) of a request with the default flags: no kwargs, headers or fragments.
-
-    The hashed text is compact JSON with the keys body, method, sid, url in this order.
-    ``data`` of the kwargs gives the body if present, else ``json``, in hex.
-    """
-    def member(name: str) -> tuple[Column, Column]:
-        """The member as text, and whether it is a JSON string."""
-        value = F.variant_get(F.try_parse_json(session_kwargs), f"$.{name}", "variant")
-        return value, F.schema_of_variant(value) == "STRING"
-
-    data, data_is_text = member("data")
-    other, _ = member("json")
-    method, method_is_text = member("method")
-    body = (
-        F.when(data.isNotNull() & data_is_text, data.cast("string"))
-        .when(data.isNotNull(), F.to_json(data))
-        .when(other.isNotNull(), F.to_json(other))
-    )
-    sent = F.struct(
-        F.coalesce(F.lower(F.hex(body.cast("binary"))), F.lit("")).alias("body"),
-        F.upper(F.when(method_is_text, method.cast("string")).otherwise("GET")).alias("method"),
-        F.coalesce(sid, F.lit("")).alias("sid"),
-        F.substring_index(F.coalesce(url, F.lit("")), "#", 1).alias("url"),
-    )
-    return F.unhex(F.sha1(F.to_json(sent)))
-
-
 def request_keys(requests: DataFrame) -> DataFrame:
     """``request_id, enqueue_no, fingerprint`` (binary), each request once.
 
@@ -211,7 +188,7 @@ def request_keys(requests: DataFrame) -> DataFrame:
     are left out.
     """
     given = F.unhex(F.when(F.trim("fingerprint").rlike("^[0-9A-Fa-f]{40}$"), F.trim("fingerprint")))
-    worked = request_fingerprint(F.col("url"), F.col("sid"), F.col("session_kwargs"))
+    worked = F.unhex(request_fingerprint("url", "sid", "session_kwargs"))
     return (
         requests.where(F.col("request_id").isNotNull() & F.col("enqueue_no").isNotNull())
         .select("request_id", "enqueue_no", F.when(given.isNotNull(), given).otherwise(worked).alias("fingerprint"))
@@ -221,31 +198,64 @@ def request_keys(requests: DataFrame) -> DataFrame:
     )
 
 
-def first_uses(keys: DataFrame) -> DataFrame:
-    """The first use of each key, with the number of its uses. Pre-aggregated before the shuffle."""
+def entries(keys: DataFrame, geometry: Geometry) -> DataFrame:
+    """What the stream puts into the filter: ``block, _f`` with the first use, the number of uses and the keys behind it.
+
+    The stream's own keys are told apart by quotient and remainder alone, as the filter does
+    it. Each task merges its uses before the shuffle, so a hot key is a row for each task.
+    ``low`` and ``high`` are the least and greatest key: they differ where keys collide.
+    """
+    key = F.col("fingerprint")
+    hashed = keys.select(geometry.block(key).alias("block"), geometry.fused(key).alias("_f"), "fingerprint", "enqueue_no", "request_id")
     return (
-        keys.groupBy("fingerprint")
-        .agg(F.min(F.struct("enqueue_no", "request_id")).alias("_m"), F.count("*").alias("uses"))
-        .select("fingerprint", "_m.enqueue_no", "_m.request_id", "uses")
+        hashed.groupBy("block", "_f")
+        .agg(F.min(F.struct("enqueue_no", "request_id")).alias("_m"), F.count("*").alias("uses"), F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high"))
+        .select("block", "_f", "_m.enqueue_no", "_m.request_id", "uses", "low", "high")
     )
 
 
-def seen_verdicts(requests: DataFrame, seen: DataFrame, geometry: Geometry | None = None) -> DataFrame:
-    """For the first use of each key what the filter says (``maybe_seen``) and what holds (``truly_seen``).
+#: Up to so many keys of 20 bytes are broadcast to look them up among the earlier keys.
+BROADCAST_KEYS = 1_000_000
+
+
+def confirmed(maybe: DataFrame, seen: DataFrame) -> DataFrame:
+    """``fingerprint`` of those of the ``maybe`` keys that truly are among the earlier keys.
+
+    Few keys are broadcast, so that the earlier keys are only scanned; many meet them by shuffle.
+    """
+    few = maybe.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    stored = seen.where(F.col("fingerprint").isNotNull()).select("fingerprint")
+    return stored.join(F.broadcast(maybe) if few else maybe, "fingerprint", "left_semi").distinct()
+
 
-    Columns ``fingerprint, enqueue_no, request_id, maybe_seen, truly_seen``. Every later
-    use of a key is seen without asking. The exact check reads only the keys that the
-    filter calls seen; what the filter calls new is new.
+def new_requests(requests: DataFrame, seen: DataFrame, geometry: Geometry | None = None) -> DataFrame:
+    """``request_id, called_seen`` of the requests whose key never occurred before.
+
+    The filter decides: a first use of an entry that it doesn't have is new, and nothing else
+    is looked at. Its other answers, *maybe seen*, are checked exactly where they can be
+    wrong: first uses of an entry that it has, and entries behind which there are several keys.
+    ``called_seen``: the filter was wrong.
     """
     geometry = geometry or Geometry(key_estimate(requests, seen))
-    checkpoints = build_filter(seen, geometry, "checkpoint_no")
-    merged = merge_filters(checkpoints, geometry)
-    asked = probe(merged, first_uses(request_keys(requests)), geometry)
-    stored = seen.where(F.col("fingerprint").isNotNull()).select("fingerprint").distinct().withColumn("truly_seen", F.lit(True))
-    asked = asked.withColumn("_k", F.when(F.col("maybe_seen"), F.col("fingerprint")))
-    return asked.join(stored.withColumnRenamed("fingerprint", "_k"), "_k", "left").select(
-        "fingerprint", "enqueue_no", "request_id", "maybe_seen", F.coalesce("truly_seen", F.lit(False)).alias("truly_seen")
-    )
+    stored = materialise(build_filter(seen, geometry, "checkpoint_no"), "filters")
+    keys = materialise(request_keys(requests), "request-keys", "snappy")
+    asked = materialise(probe(merge_filters(stored, geometry), entries(keys, geometry)), "answers", "snappy")
+    alone = F.col("low") == F.col("high")
+    certain = asked.where(alone & ~F.col("in_filter")).select("request_id", F.lit(False).alias("called_seen"))
+    maybe = asked.where(alone & F.col("in_filter"))
+    known = confirmed(maybe.select(F.col("low").alias("fingerprint")), seen).withColumnRenamed("fingerprint", "low")
+    wrong = maybe.join(known, "low", "left_anti").select("request_id", F.lit(True).alias("called_seen"))
+    found = certain.unionByName(wrong)
+    collided = asked.where(~alone)
+    if collided.isEmpty():
+        return found
+    # keys that share an entry: each by itself, all but the entry's first use were called seen
+    key = F.col("fingerprint")
+    several = collided.select("block", "_f", F.col("request_id").alias("_first"), "in_filter")
+    uses = keys.withColumns({"block": geometry.block(key), "_f": geometry.fused(key)}).join(several, ["block", "_f"])
+    firsts = uses.groupBy("fingerprint").agg(F.min(F.struct("enqueue_no", "request_id")).alias("_m"), F.first("_first").alias("_first"), F.first("in_filter").alias("in_filter"))
+    firsts = firsts.join(confirmed(firsts.select("fingerprint"), seen), "fingerprint", "left_anti")
+    return found.unionByName(firsts.select("_m.request_id", (F.col("in_filter") | (F.col("_m.request_id") != F.col("_first"))).alias("called_seen")))
 
 
 def key_estimate(requests: DataFrame, seen: DataFrame) -> int:
@@ -256,35 +266,32 @@ def key_estimate(requests: DataFrame, seen: DataFrame) -> int:
 def seen_requests(requests: DataFrame, seen: DataFrame, geometry: Geometry | None = None) -> DataFrame:
     """``request_id`` of each request whose key occurred before, each once.
 
-    All requests but the first uses of unseen keys. That difference is taken on
-    ``request_id``, so a key with a third of all rows never meets in one task. Empty
-    tables give no rows; an empty ``seen`` leaves the repeats within ``requests``.
+    All requests but the new ones. That difference is taken on ``request_id``, so a key
+    with a third of all rows never meets in one task. Empty tables give no rows; an
+    empty ``seen`` leaves the repeats within ``requests``.
     """
-    new = seen_verdicts(requests, seen, geometry).where(~F.col("truly_seen")).select("request_id")
+    new = new_requests(requests, seen, geometry).select("request_id")
     every = requests.where(F.col("request_id").isNotNull() & F.col("enqueue_no").isNotNull()).select("request_id").distinct()
     return every.join(new, "request_id", "left_anti")
 
 
 def error_report(requests: DataFrame, seen: DataFrame, geometry: Geometry | None = None) -> DataFrame:
-    """One row: keys asked, keys new, wrong answers, measured and derived rate of wrong answers."""
+    """One row: requests asked, new ones, wrong answers, and the measured and derived rate of wrong answers among new requests.
+
+    A wrong answer is a new request that the filter called seen; it never calls a seen one new.
+    """
     geometry = geometry or Geometry(key_estimate(requests, seen))
-    got = seen_verdicts(requests, seen, geometry)
+    new = new_requests(requests, seen, geometry).agg(F.count("*").alias("new_requests"), F.count_if("called_seen").alias("wrong_answers"))
+    asked = requests.where(F.col("request_id").isNotNull() & F.col("enqueue_no").isNotNull()).agg(F.count_distinct("request_id").alias("asked_requests"))
     stored = seen.where(F.col("fingerprint").isNotNull()).agg(F.count_distinct("fingerprint").alias("stored_keys"))
     bits = geometry.bits
-    return (
-        got.agg(
-            F.count("*").alias("asked_keys"),
-            F.count_if(~F.col("truly_seen")).alias("new_keys"),
-            F.count_if(F.col("maybe_seen") & ~F.col("truly_seen")).alias("wrong_answers"),
-        )
-        .join(stored)
-        .select(
-            "asked_keys",
-            "stored_keys",
-            "new_keys",
-            "wrong_answers",
-            (F.col("wrong_answers") / F.nullif("new_keys", F.lit(0))).alias("measured_rate"),
-            (-F.expm1((F.col("stored_keys") + F.col("new_keys") / 2) * F.lit(math.log1p(-(2.0**-bits))))).alias("derived_rate"),
-            F.lit(bits).alias("hash_bits"),
-        )
+    held = F.col("stored_keys") + F.col("new_requests") / 2  # on average a new key meets half of the stream's keys
+    return new.join(asked).join(stored).select(  # one row each
+        "asked_requests",
+        "stored_keys",
+        "new_requests",
+        "wrong_answers",
+        (F.col("wrong_answers") / F.nullif("new_requests", F.lit(0))).alias("measured_rate"),
+        (-F.expm1(held * F.lit(math.log1p(-(2.0**-bits))))).alias("derived_rate"),
+        F.lit(bits).alias("hash_bits"),
     )
