@@ -1,5 +1,6 @@
 import base64
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftline.llm import pages as G, queries, residue as R
@@ -8,8 +9,8 @@ FRAME = "<html><head><title>{t} | Site</title></head><body><nav><a href='/0'>Hom
 RESPONSE = "response_id long, request_id long, url string, status int, headers map<string,string>, encoding string, body binary, extra string"
 
 
-def responses(spark, bodies, media="text/html", encoding=None):
-    rows = [(i, i, f"https://s{i % 3}.test/{i}", 200, {"Content-Type": media}, encoding, b, "x") for i, b in enumerate(bodies, 1)]
+def responses(spark, bodies, media="text/html", encoding=None, status=None):
+    rows = [(i, i, f"https://s{i % 3}.test/{i}", (status or {}).get(i, 200), {"Content-Type": media}, encoding, b, "x") for i, b in enumerate(bodies, 1)]
     return spark.createDataFrame(rows, RESPONSE)
 
 
@@ -26,8 +27,6 @@ def test_blocks():
 
 
 def test_windows_are_suffix_prefixes():
-    import numpy as np
-
     tokens = np.array([1, 2, 3, 1, 2, 3, 4])
     ranks = G.window_ranks(tokens, 2)
     assert ranks[0] == ranks[3] and ranks[1] == ranks[4] and len(set(ranks)) == 5
@@ -51,21 +50,27 @@ def test_main_content_of_a_site():
         assert [b.text for b in G.main_blocks(p)] == [f"Title {i}", f"The first paragraph of {i} tells a tale.", f"Another one with number {i}."]
 
 
-def test_residue_of_blocks():
-    for text in ("{{ title }}", "Price: ${price}", "undefined, null", "[object Object]", "Lorem ipsum dolor sit amet.", "[INSERT name HERE]", "*|city|*", "You need to enable JavaScript to run this app.", "__body__"):
-        assert R.residue_length(text) == len(text), text
-    assert R.residue_length("Dear {{ name }}, your order of last week is ready to be fetched.") == len("{{ name }}")
-    assert R.residue_length("A plain sentence about nothing at all.") == 0 and R.residue_length("") == 0
-    assert R.json_is_residue('{"status": "error", "message": "later"}') and not R.json_is_residue('{"error": null, "items": [{"name": "a lamp"}]}')
-    assert not R.json_is_residue("no json") and not R.json_is_residue("[]")
+def test_features_of_a_content():
+    size, slots, lengths, chars, counts, places = R.content_features(["{{ title }}", "Price: ${price}", "One two. One three."])
+    assert size == 45 and slots == 19
+    read = lambda x: np.frombuffer(x, np.int32).tolist()
+    assert read(lengths) == [11, 15, 9, 10] and read(chars) == [11, 8, 0, 0] and read(counts)[0] == 0
+    assert sum(p < 0 for p in read(places)) == 2  # "one" and "^ one" come again
+    for text in ("{{ title }}", "${price}", "[INSERT name HERE]", "*|city|*", "__body__", "<%= x.y %>", "@@a@@", "[[b]]"):
+        assert R.content_features([text])[:2] == (len(text), len(text)), text
+    assert R.content_features([])[:2] == (0, 0) and R.content_features(["no {slot here"])[1] == 0
+
+
+def test_json_members():
+    assert R.json_reports_error('{"status": "error", "message": "later"}') and not R.json_reports_error('{"error": null, "items": [{"name": "a lamp"}]}')
+    assert not R.json_reports_error("no json") and not R.json_reports_error("[]")
 
 
 def test_residue_responses(spark):
     bodies = [page(f"Title {i}", f"The first paragraph of {i} tells a tale.", f"Another one with number {i}.") for i in range(12)]
-    bodies += [page("{{title}}", "{{body}}", "Price: ${price}"), b"<h1>Gone</h1><p>This offer was taken away</p>", b"<h1>Gone</h1><p>This offer was taken away</p>", b"<h1>Gone</h1><p>This offer was taken away</p>", b"", None]
-    df = responses(spark, bodies)
-    got = {r.response_id for r in R.residue_responses(df).collect()}
-    assert got == {13, 14, 15, 16}  # the error page stands on three sites
+    bodies += [page("{{title}}", "{{body}}", "Price: ${price}"), *[b"<h1>Gone</h1><p>This offer was taken away</p>"] * 3, b"", None]
+    df = responses(spark, bodies, status={14: 404, 15: None})
+    assert {r.response_id for r in R.residue_responses(df).collect()} == {13, 14, 15, 16}  # the error page stands on three sites
     api = responses(spark, [b'{"success": false}', b'{"items": [{"a": "b"}]}', None], "application/json; charset=utf-8")
     assert [r.response_id for r in R.residue_responses(api).collect()] == [1]
     assert R.residue_responses(df.limit(0)).count() == 0
@@ -95,10 +100,22 @@ def test_base64(spark):
 def test_parts_of_a_large_site(spark):
     bodies = [page(f"Title {i}", f"The first paragraph of {i} tells a tale.") for i in range(40)]
     parts = R.by_site(R.response_pages(responses(spark, bodies)), block_pages=10)
-    sizes = [r["count"] for r in parts.groupBy("site", "part").count().collect()]
+    sizes = [r["count"] for r in parts.groupBy("unit").count().collect()]
     assert len(sizes) > 2 and sum(sizes) == 40
 
 
+def test_sites_are_hosts_and_mirrors(spark):
+    def rows(host, name, count, first):
+        return [(first + i, f"https://{host}/{i}", f"<title>T{i} | {name}</title><p>x".encode()) for i in range(count)]
+
+    made = rows("en.alpha.example", "Contact", 3, 0) + rows("en.beta.test", "Contact", 3, 10) + rows("www.news.gamma.test", "Gamma", 3, 20) + rows("news.gamma.test", "Gamma", 1, 30)
+    made += rows("cdn1.mirror.example", "Gamma", 1, 40) + rows("cdn1.mirror.example", "Delta", 1, 50) + rows("cdn1.mirror.example", "Other", 1, 60) + rows("delta.test", "Delta", 2, 70)
+    df = spark.createDataFrame([(str(k), u, b) for k, u, b in made], "page_key string, url string, body binary")
+    got = {int(r.page_key): r.site for r in R.with_site(df).collect()}
+    assert got[0] == "en.alpha.example" and got[10] == "en.beta.test" and got[20] == got[30] == got[40] == "news.gamma.test"
+    assert got[50] == "delta.test" and got[60] == "cdn1.mirror.example"
+
+
 def test_queries(spark, sf):
     assert queries.p1_found(spark, sf).columns == ["response_id"]
     assert queries.p2_found(spark, sf).columns == ["origin", "page_key", "block_md5"]

@@ -18,7 +18,6 @@ import hashlib
 import html
 import re
 from collections import Counter
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -236,30 +235,38 @@ def boilerplate_lines(pages: list[Page], owners_of: list[str]) -> set[int]:
     }
 
 
-def repeated_blocks(pages: list[Page], share: float = SHARE, window: int = WINDOW, lines: set[int] | None = None, spare: Callable[[str], bool] | None = None) -> None:
-    """Mark the blocks of one site that are covered by substrings repeated across its pages.
+def repeated_blocks(pages: list[Page], share: float = SHARE, window: int = WINDOW) -> list[str]:
+    """Mark the blocks of one site that are covered by substrings repeated across its pages; gives the pages' owners.
 
     Distinct pages are told apart by ``page_owner``. A substring counts as repeated if it
     stands on at least two pages and on ``share`` of them; a block is covered if it comes
     back as a whole, or if repeated substrings of ``window`` tokens cover at least nine
-    tenths of it. Besides, the boilerplate lines of the site are covered, whatever share
-    of its pages has them, but for those that ``spare`` holds for. ``lines`` are their digests
-    where ``pages`` are only a part of the site; by default they are counted here.
+    tenths of it.
+    """
+    owners = [page_owner(p) for p in pages]
+    if pages:
+        _cover_repeats(pages, owners, share, window)
+        _cover_garbled(pages, set())
+    return owners
+
+
+def cover_lines(pages: list[Page], owners: list[str], lines: set[int] | None = None) -> None:
+    """Mark the boilerplate lines of the site besides, whatever share of its pages has them.
+
+    ``lines`` are their digests where ``pages`` are only a part of the site; by default they
+    are counted here.
     """
-    if not pages:
-        return
-    owners_of = [page_owner(p) for p in pages]
     if lines is None:
-        lines = boilerplate_lines(pages, owners_of)
-    _cover_repeats(pages, owners_of, share, window)
+        lines = boilerplate_lines(pages, owners)
+    if not lines:
+        return
     verdicts: dict[str, bool] = {}
-    if lines:
-        for p in pages:
-            for b in p.blocks:
-                if not b.covered and not b.links:
-                    if b.text not in verdicts:
-                        verdicts[b.text] = digest(b.text) in lines and not (spare and spare(b.text))
-                    b.covered = verdicts[b.text]
+    for p in pages:
+        for b in p.blocks:
+            if not b.covered and not b.links:
+                if b.text not in verdicts:
+                    verdicts[b.text] = digest(b.text) in lines
+                b.covered = verdicts[b.text]
     _cover_garbled(pages, {text for text, hit in verdicts.items() if hit and not ASCII_WORD.search(text)})
 
 

@@ -1,11 +1,20 @@
-"""Template residue and error pages.
-
-The frame of each site's template is what its pages share (see ``pages``); the slots
-are what is left of a page. A slot's text is residue where it keeps a variable's name
-in the syntax of a template language, a default of a script language, filler text, a
-blank, an error message, or a demand to allow scripts. A page whose whole content,
-digits and hosts aside, comes back on several sites is an error template of its own,
-if an error status, residue words or its heading confirm it. A page is a case if more than half of its content's characters are residue.
+"""Template residue and error pages, by expectation-maximisation over aligned pages.
+
+The pages of a site are aligned by what they share (see ``pages``): that is the frame of
+its template, and what is left of a page are its slots, the content. Which content is
+residue nobody says in words. Three things do, over all sites together:
+
+* slots that retain a variable in the syntax of a template language;
+* whole contents that come back, digits and addresses aside, as one page does on several
+  sites, and are short: an error page if error statuses go with them or many sites show it;
+* an error status, which is weak evidence, since statuses often don't fit the body.
+
+From these seeds a latent class is estimated: for each word and pair of words, how often
+pages of residue have it and how often others have it (M-step), and for each page which of
+its sentences are made of the words of residue (E-step). So filler, messages, script
+defaults and demands for scripts are learned from the corpus, in whatever language it has
+them. A page is a case if more than half of its content's characters are in such sentences
+or in slots.
 """
 
 from __future__ import annotations
@@ -13,14 +22,17 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftline.llm.lines import media_type, site_of
-from weftline.llm.pages import ASIDE_PAGES, PAGES, Page, digest, is_long_line, line_uses, main_blocks, page_blocks, page_owner, repeated_blocks, squeeze
+from weftline.functions.http import media_type
+from weftline.llm.lines import site_of
+from weftline.llm.pages import ASIDE_PAGES, PAGES, Page, cover_lines, digest, is_long_line, line_uses, main_blocks, page_blocks, page_owner, repeated_blocks, squeeze
 from weftline.session import materialise
 
 # The ways template languages write a variable.
@@ -29,123 +41,164 @@ SLOT = re.compile(
     rf"\{{\{{\{{?{NAME}\}}?\}}\}}|[$#]?\{{{NAME}\}}|\{{%{NAME}%\}}|<%=?{NAME}%>|@@{NAME}@@|%%{NAME}%%|\*\|{NAME}\|\*|\[\[{NAME}\]\]"
     rf"|\b__[A-Za-z][\w.]*?__(?!\w)|\[(?:INSERT|ENTER|ADD|YOUR)\b[^\]]{{0,60}}\]|\[PLACEHOLDER[^\]]{{0,40}}\]|%[A-Z_]{{3,}}%"
 )
-# What scripts show for a missing value.
-DEFAULT = re.compile(r"\bundefined\b|\[object Object\]|\bNaN\b|\bnull\b|\bNone\b|\bN/A\b|\bTBD\b|\bTODO\b|\bFIXME\b|\bXXX+\b|#REF!|#VALUE!")
-LABEL = re.compile(r"(?:price|from|size|by|name|title|date|author|stock|colou?r|weight|total|to|dear|hello|hi)\s*:?", re.I)
-# Filler sentences.
-FILLER = re.compile(
-    r"lorem ipsum|dolor sit amet|consectetur adipisc|sed do eiusmod|ut labore et dolore|your text goes here|replace this (?:paragraph|text)|sample (?:text|page)\b"
-    r"|write a short intro|describe your product|item description|content block, to be filled|heading goes here|title of the article|texte à venir|remplacer ce (?:paragraphe|texte)|placeholder (?:copy|text)|(?:this is )?dummy text"
-    r"|blindtext|platzhaltertext|bis der richtige|texto de (?:ejemplo|relleno|exemplo)|texte (?:d.exemple|factice)|tekst zastępczy|coming soon|under construction|^untitled\b"
-    r"|hello world|quis nostrud|ullamco laboris|duis aute|excepteur sint|cupidatat non|fugiat nulla|velit esse cillum|magna aliqua|tempor incididunt|minim veniam|mollit anim",
-    re.I,
-)
-# Error messages and demands for scripts.
-ERROR = re.compile(
-    r"page (?:was )?not found|\b(?:404|403|410|500|502|503|504)\b.{0,25}(?:error|not found|forbidden|gone|unavailable|gateway|time-?out)|(?:error|fehler|erreur|erro|błąd|chyba|ошибка|σφάλμα|エラー)\s*:?\s*\d{3}\b"
-    r"|does not exist or has moved|check the address or go back|gateway time-?out|bad gateway|upstream (?:host|server)|went wrong on our side|gibt es leider nicht mehr|unhandled exception|^too many requests|requested url .{0,80} was not found|taken down by|incident id|sent more than \d+ calls|server took too long|try again (?:in \d+|later)|database error|sqlstate\[|query was not executed"
-    r"|service (?:is )?(?:temporarily )?unavailable|doing maintenance|be back shortly|traceback \(most recent|fatal error|uncaught \w*error|access (?:is )?denied|do not have permission"
-    r"|login required|session has (?:run out|expired)|prove you are|sign in again|token expired|log in again|are you a robot|verify (?:that )?you are (?:a )?human|prove you are|checking your browser|unusual (?:traffic|number)"
-    r"|nothing here|address leads nowhere|item was sold out and removed|internal server error|too many requests|rate limit|forbidden|no longer available|page introuvable|n’existe plus ou a changé"
-    r"|página no encontrada|ya no está disponible|página não encontrada|seite (?:wurde )?nicht gefunden|nicht mehr (?:verfügbar|erreichbar)|страница не найдена|не существует|stránka nenalezena"
-    r"|nie znaleziono strony|strona nie istnieje|η σελίδα δεν βρέθηκε|ページが見つかりません|お探しのページ|connection (?:refused|timed out)|could not be displayed|cannot be reached|this site can.t be reached"
-    r"|wartungsarbeiten|en maintenance|en mantenimiento|em manutenção|zugriff verweigert|accès refusé|acceso denegado|acesso negado|доступ запрещ|site is down|account (?:has been )?suspended",
-    re.I,
-)
-SCRIPT = re.compile(
-    r"(?:enable|turn on|activate|allow|requires?|needs?|works only with|switch on|without)\s+(?:java ?)?scripts?\b|javascript.{0,40}(?:disabled|required|switched off|to run|enable|not supported)|(?:active|activez|aktivieren|habilite|ative|włącz|zapněte|включите)\b.{0,30}javascript"
-    r"|javascript.{0,30}(?:aktivieren|aktiviert|activer|activar|włącz|включ|を有効)|scripts and cookies must be on|does not execute scripts|browser does not (?:support|run) scripts|javascript を",
-    re.I,
-)
-# Words of filler texts, in mock Latin and from the keyboard.
-FILLER_WORDS = frozenset(
-    "lorem ipsum dolor sit amet consectetur consec adipiscing adipis elit olit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud"
-    " exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat"
-    " cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum quandem eget mattis sapienda cultor umbrae tristo ventor ferrum vestra vela morbis nuncia"
-    " viverra elim tetur lacrum praet blah bla foo bar baz qux asdf qwertz qwerty yxcv hjkl jkl test xxx xyz abc".split()
-)
-WORD = re.compile(r"\w+")
-# The reason phrases of error statuses, as a block of their own.
-REASON = re.compile(
-    r"(?:\d{3}\W+)?(?:bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|request timeout|conflict|gone|precondition failed|too many requests"
-    r"|internal server error|not implemented|bad gateway|service unavailable|gateway timeout)\W*",
-    re.I,
-)
 SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*\s*")
+WORD = re.compile(r"[^\W\d_]+|\d+")
+#: Stands for each character of a slot: of the private use area, no word.
+HOLE = "\ue000"
+
+#: Words and pairs of words are counted in so many places, whatever the corpus.
+BUCKETS = 1 << 20
+ROUNDS = 2
+#: A whole content is a seed if it is at most so long and stands on so many sites: SITES with the share ERRORS of error statuses, MANY_SITES without.
+SHORT, SITES, MANY_SITES, ERRORS = 400, 3, 6, 0.2
+#: Mean log-odds of its words from which on a sentence is residue; those of one word are held within ODDS.
+LEAST, ODDS = 0.5, 4.0
+SMOOTHING = 0.5
+#: Probabilities of the seeds: slots in much of the content, slots at all, a seeded template, an error status above a short content, anything else.
+SEEDS = (0.95, 0.5, 0.9, 0.3, 0.01)
 
+BLOCK_PAGES = 1000
+#: Up to so many rows of two short strings a side is broadcast; beyond it is joined by shuffle.
+BROADCAST_ROWS = 100_000
 
-# Each pattern above needs one of these in its text, in lower case; the share of filler words is asked
-# for besides. They are looked for all at once.
-TRIGGERS = (
-    "{|<%|@@|%|*||[|__|undefined|nan|null|none|n/a|tbd|todo|fixme|xxx|#ref!|#value!|lorem|ipsum|dolor sit|consectetur|sed do|ut labore|your text|replace this|sample|write a short"
-    "|describe your|item description|content block|heading goes|placeholder|title of the article|texte|remplacer|dummy|blindtext|platzhalter|der richtige|texto de|zastępczy|coming soon"
-    "|under construction|untitled|hello world|quis nostrud|ullamco|duis aute|excepteur|cupidatat|fugiat|velit esse|magna aliqua|incididunt|minim veniam|mollit|umbrae|quandem|mattis|sapienda"
-    "|cultor|tristo|ventor|ferrum|vestra|morbis|nuncia|viverra|tetur|lacrum|praet|adipis|consec|blah|asdf|qwert|yxcv|hjkl|foo|not found|404|403|410|500|502|503|504|error|fehler|erreur"
-    "|erro|błąd|chyba|ошибка|σφάλμα|エラー|does not exist|check the address|time-out|timeout|gateway|took too long|try again|sqlstate|not executed|unavailable|maintenance|be back"
-    "|traceback|fatal|uncaught|denied|permission|login required|session has|prove you are|sign in again|token expired|log in again|robot|verify|human|checking your|unusual|nothing here|leads nowhere|sold out"
-    "|too many|rate limit|forbidden|no longer available|introuvable|n’existe plus|no encontrada|no está disponible|não encontrada|nicht gefunden|gibt es leider|nicht mehr|не найдена|не существует|nenalezena"
-    "|nie znaleziono|nie istnieje|δεν βρέθηκε|見つかりません|お探しの|connection|could not be displayed|cannot be reached|t be reached|wartungsarbeiten|mantenimiento|manutenção"
-    "|verweigert|refusé|denegado|negado|запрещ|site is down|suspended|upstream|wrong on our|unhandled|requested url|taken down|incident id|calls|script"
-)
 
+# --- contents as features ----------------------------------------------------------
 
-def _automaton():
-    import ahocorasick
 
-    machine = ahocorasick.Automaton()
-    for word in TRIGGERS.replace("*||", "*\0|").split("|"):
-        if word:
-            machine.add_word(word.replace("\0", "|"), 1)
-    machine.make_automaton()
-    return machine
+def features(sentence: str) -> list[int]:
+    """The places of a sentence's words and pairs of neighbouring words; digits are one word, scripts without spaces are cut into three characters."""
+    words: list[str] = []
+    for w in WORD.findall(sentence.lower()):
+        if w[0].isdigit():
+            words.append("0")
+        elif len(w) > 5 and w[0] > "\u2e80":
+            words += [w[i : i + 3] for i in range(len(w) - 2)]
+        else:
+            words.append(w)
+    if not words:
+        return []
+    pairs = [f"{a} {b}" for a, b in zip(["^", *words], [*words, "$"])]
+    return [zlib.crc32(x.encode("utf-8", "replace")) & (BUCKETS - 1) for x in words + pairs]
 
 
-MACHINE = _automaton()
+FEATURES = "size int, slots int, lengths binary, slot_chars binary, counts binary, places binary"
 
 
-def triggered(text: str) -> bool:
-    """False only where no pattern can match; filler is told by the share of its words besides."""
-    low = text.lower()
-    if not low.isascii():
-        # what the patterns take for i and s in any letter case
-        low = low.replace("ı", "i").replace("i\u0307", "i").replace("ſ", "s")
-    return next(MACHINE.iter(low), None) is not None
+def content_features(texts: list[str]) -> tuple[int, int, bytes, bytes, bytes, bytes]:
+    """A content as numbers: its characters and those in slots, and for each sentence characters, slot characters, features and their places.
 
+    The first time a page has a feature its place stands as it is, later as its complement.
+    """
+    lengths, slots, counts, places, seen = [], [], [], [], set()
+    for text in texts:
+        if any(c in text for c in "{%@*[_"):
+            text = SLOT.sub(lambda m: HOLE * len(m[0]), text)
+        for s in SENTENCE.findall(text) or [text]:
+            found = features(s)
+            lengths.append(len(s)), slots.append(s.count(HOLE)), counts.append(len(found))
+            for f in found:
+                places.append(~f if f in seen else f)
+                seen.add(f)
+    pack = lambda x: np.array(x, dtype=np.int32).tobytes()
+    return sum(lengths), sum(slots), pack(lengths), pack(slots), pack(counts), pack(places)
+
+
+def residue_chars(lengths: np.ndarray, slots: np.ndarray, counts: np.ndarray, places: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """How many characters of each sentence are residue."""
+    value = np.concatenate([[0.0], np.cumsum(odds[np.where(places < 0, ~places, places)], dtype=np.float64)])
+    ends = np.cumsum(counts)
+    mean = (value[ends] - value[ends - counts]) / np.maximum(counts, 1)
+    whole = np.where(counts > 0, (mean > LEAST) & (lengths > slots), slots > 0)
+    return np.where(whole, lengths, slots)
+
+
+class Batch:
+    """The features of the pages of a batch, put together."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        read = lambda c: np.frombuffer(b"".join(pdf[c]), dtype=np.int32)
+        self.lengths, self.slots, self.counts, self.places = map(read, ("lengths", "slot_chars", "counts", "places"))
+        self.sentences = np.fromiter((len(x) // 4 for x in pdf["lengths"]), np.int64, len(pdf))
+        self.features = np.fromiter((len(x) // 4 for x in pdf["places"]), np.int64, len(pdf))
+        self.size = np.maximum(pdf["size"].to_numpy(np.float64), 1)
+
+    def shares(self, odds: np.ndarray) -> np.ndarray:
+        """The share of residue in each page's content."""
+        chars = np.concatenate([[0], np.cumsum(residue_chars(self.lengths, self.slots, self.counts, self.places, odds))])
+        ends = np.cumsum(self.sentences)
+        return (chars[ends] - chars[ends - self.sentences]) / self.size
+
+
+def fit(contents: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """EM over contents with ``seed``: log-odds by place. The driver gets at most ``BUCKETS`` sums."""
+    odds: np.ndarray | None = None
+    spark = contents.sparkSession
+    for _ in range(rounds):
+        sent = None if odds is None else spark.sparkContext.broadcast(odds)
+
+        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums, pages, touched = np.zeros((2, BUCKETS)), np.zeros(2), False
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                batch, touched = Batch(pdf), True
+                chance = pdf["seed"].to_numpy(np.float64) if sent is None else np.clip(1 / (1 + np.exp(-12 * (batch.shares(sent.value) - 0.5))), 0.005, 0.995)
+                first = batch.places >= 0
+                places, weight = batch.places[first], np.repeat(chance, batch.features)[first]
+                sums[0] += np.bincount(places, weights=weight, minlength=BUCKETS)
+                sums[1] += np.bincount(places, weights=1 - weight, minlength=BUCKETS)
+                pages += chance.sum(), (1 - chance).sum()
+            if touched:
+                at = np.flatnonzero(sums.sum(axis=0))
+                yield pd.DataFrame({"place": np.append(at, -1).astype(np.int32), "residue": np.append(sums[0, at], pages[0]), "other": np.append(sums[1, at], pages[1])})
+
+        read = contents.select("seed", "size", "lengths", "slot_chars", "counts", "places")
+        total = read.mapInPandas(step, "place int, residue double, other double").groupBy("place").agg(F.sum("residue").alias("residue"), F.sum("other").alias("other"))
+        rows = total.where((F.col("residue") + F.col("other") >= 1.5) | (F.col("place") < 0)).toArrow()
+        place, residue, other = (rows[c].to_numpy() for c in ("place", "residue", "other"))
+        pages = place < 0
+        n1, n0 = (residue[pages][0], other[pages][0]) if pages.any() else (0.0, 0.0)
+        odds = np.zeros(BUCKETS, dtype=np.float32)  # rare features say nothing
+        own = ~pages
+        # drawn to the rate of all pages: what both classes have alike, and a class without evidence, say nothing
+        rate = SMOOTHING * (residue[own] + other[own]) / max(n1 + n0, 1e-9)
+        odds[place[own]] = np.clip(np.log((residue[own] + rate) / (n1 + SMOOTHING)) - np.log((other[own] + rate) / (n0 + SMOOTHING)), -ODDS, ODDS)
+    return odds
+
+
+def with_seeds(contents: DataFrame) -> DataFrame:
+    """Adds ``seed``, the probability of residue before any word was looked at."""
+    error = F.coalesce(F.col("status") >= 400, F.lit(False))
+    short = F.col("size") <= SHORT
+    by_site = contents.where(F.col("template").isNotNull() & short).groupBy("template", "site").agg(F.count("*").alias("pages"), F.count_if(error).alias("errors"))
+    counted = by_site.groupBy("template").agg(F.count("*").alias("sites"), F.sum("pages").alias("pages"), F.sum("errors").alias("errors"))
+    templates = materialise(counted.where((F.col("sites") >= MANY_SITES) | (F.col("sites") >= SITES) & (F.col("errors") >= ERRORS * F.col("pages"))).select("template", F.lit(True).alias("_again")), "templates")
+    if templates.count() <= BROADCAST_ROWS:
+        templates = F.broadcast(templates)
+    much, some, again, failed, none = map(F.lit, SEEDS)
+    by_slots = F.when(F.col("slots") > 0.3 * F.col("size"), much).when(F.col("slots") > 0, some).otherwise(none)
+    seed = F.greatest(by_slots, F.when(F.coalesce("_again", F.lit(False)), again).otherwise(none), F.when(error & short, failed).otherwise(none))
+    return contents.join(templates, "template", "left").withColumn("seed", seed).drop("_again")
 
-def filler_words(text: str) -> tuple[int, int]:
-    """How many words of a text are filler, and how many it has."""
-    words = WORD.findall(text.lower())
-    return sum(map(FILLER_WORDS.__contains__, words)), len(words)
 
+def with_cases(contents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``contents`` with ``residue``: more than half of the content is residue. Pages without content are none."""
+    seeded = with_seeds(contents)
+    sent = contents.sparkSession.sparkContext.broadcast(fit(seeded, rounds))
+    kept = [c for c in contents.columns if c not in ("lengths", "slot_chars", "counts", "places")]
+    types = dict(contents.dtypes)
 
-def filler_pair(text: str) -> bool:
-    """Whether two filler words follow each other, as they do in each sentence of which 70 % of two words or more are filler."""
-    return b"\1\1" in bytes(map(FILLER_WORDS.__contains__, WORD.findall(text.lower())))
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[kept].assign(residue=Batch(pdf).shares(sent.value) > 0.5 if len(pdf) else False)
 
+    return contents.mapInPandas(scan, ", ".join(f"{c} {types[c]}" for c in kept) + ", residue boolean")
 
-def residue_length(text: str, pairs: bool = True) -> int:
-    """How many characters of a block are residue. ``pairs`` is false where no filler words follow each other."""
-    bare = text.strip()
-    if not triggered(bare) and not (pairs and filler_pair(bare)):
-        return 0
-    rest = DEFAULT.sub("", SLOT.sub("", bare))
-    if rest != bare:
-        left = LABEL.sub("", rest).strip(" ,.:;|/-–·")
-        if not left:
-            return len(bare)
-    total = 0
-    sentences = SENTENCE.findall(bare) or [bare]
-    for s in sentences:
-        filler, words = filler_words(s)
-        if words > 1 and filler >= 0.7 * words:
-            total += len(s)
-        elif len(sentences) > 1 and not triggered(s):
-            continue
-        elif FILLER.search(s) or ERROR.search(s) or SCRIPT.search(s):
-            total += len(s)
-        else:
-            total += sum(len(m[0]) for m in SLOT.finditer(s))
-    return min(total, len(bare))
+
+def template_key(texts: list[str], host: str = "") -> str:
+    """The content with digits, hosts and paths left out, which an error template repeats from site to site."""
+    text = " | ".join(texts).replace(host, "*") if host else " | ".join(texts)
+    return re.sub(r"\d+", "0", re.sub(r"\S*[/.]\S*[/.]\S*", "*", text))
 
 
 def content_blocks(page: Page) -> list[str]:
@@ -156,30 +209,15 @@ def content_blocks(page: Page) -> list[str]:
     return texts
 
 
-def residue_share(texts: list[str]) -> float:
-    """The share of the content's characters that is residue; 0 without content."""
-    size = sum(map(len, texts))
-    joined = " ".join(texts)
-    pairs = filler_pair(joined)
-    if not size or not pairs and not triggered(joined):
-        return 0.0
-    return sum(residue_length(t, pairs) for t in texts) / size
-
-
-def is_message(texts: list[str], share: float, status: float | None = None) -> bool:
-    """Whether a content shows itself an error message, by an error status, a good part of residue words or its heading.
-
-    A heading counts only above a short text, since articles tell of errors too.
-    """
-    if status is not None and status >= 400 or share >= MESSAGE_SHARE:
-        return True
-    return bool(texts) and sum(map(len, texts)) <= MESSAGE_LENGTH and (bool(REASON.fullmatch(texts[0])) or is_residue(texts[0]))
+def template_hash(texts: list[str], url: str | None) -> str | None:
+    return hashlib.md5(template_key(texts, _host(url)).encode("utf-8", "replace")).hexdigest() if texts else None
 
 
-def template_key(texts: list[str], host: str = "") -> str:
-    """The content with digits, hosts and paths left out, which an error template repeats from site to site."""
-    text = " | ".join(texts).replace(host, "*") if host else " | ".join(texts)
-    return re.sub(r"\d+", "0", re.sub(r"\S*[/.]\S*[/.]\S*", "*", text))
+def _host(url: str | None) -> str:
+    try:
+        return urlsplit(url or "").hostname or ""
+    except ValueError:
+        return ""
 
 
 def json_texts(source: str) -> list[str]:
@@ -201,42 +239,26 @@ def json_texts(source: str) -> list[str]:
     return out
 
 
-def json_is_residue(source: str) -> bool:
-    """A JSON response without items of its own that reports an error, or whose strings are residue for more than half."""
+def json_reports_error(source: str) -> bool:
+    """A JSON response without items of its own whose members say that it failed."""
     try:
         value = json.loads(source)
     except (ValueError, RecursionError):
         return False
-    if isinstance(value, dict):
-        items = [v for v in value.values() if isinstance(v, list) and any(isinstance(x, dict) for x in v)]
-        failed = value.get("error") or value.get("errors") or str(value.get("status", "")).lower() in ("error", "fail", "failed") or value.get("success") is False or value.get("ok") is False
-        data = [k for k, v in value.items() if k not in ("error", "errors", "message", "status", "detail", "code", "success", "ok") and v not in (None, "", [], {})]
-        if failed and not data and not [v for v in items if v is not value.get("errors")]:
-            return True
-    return residue_share(json_texts(source)) > 0.5
+    if not isinstance(value, dict):
+        return False
+    items = [v for v in value.values() if isinstance(v, list) and any(isinstance(x, dict) for x in v)]
+    failed = value.get("error") or value.get("errors") or str(value.get("status", "")).lower() in ("error", "fail", "failed") or value.get("success") is False or value.get("ok") is False
+    data = [k for k, v in value.items() if k not in ("error", "errors", "message", "status", "detail", "code", "success", "ok") and v not in (None, "", [], {})]
+    return bool(failed) and not data and not [v for v in items if v is not value.get("errors")]
 
 
 # --- sites of pages, as tables ---------------------------------------------------
 
-BLOCK_PAGES = 1000
-#: Up to so many rows a side is broadcast; beyond it is joined by shuffle.
-BROADCAST_ROWS = 100_000
-#: A whole content on so many sites is an error template, if on this share of its pages it shows itself a message:
-#: by the status, by this share of residue, or by its heading above a text up to this length.
-TEMPLATE_SITES = 3
-MESSAGES = 0.3
-MESSAGE_SHARE = 0.2
-MESSAGE_LENGTH = 400
-
-
-def site_name(url: Column, body: Column) -> Column:
-    """What a page's site calls itself: the last part of its title, else the main label of its host.
 
-    Mirrors and cached copies of a site's pages come to the site in this way.
-    """
-    title = F.regexp_extract(body.cast("string"), r"(?is)<title[^>]*>[^<]*\|\s*([^<|]+?)\s*</title", 1)
-    host = F.regexp_replace(F.coalesce(site_of(url), F.lit("")), r"^(?:www|news|docs|shop|blog|cdn\d*|m)\.", "")
-    return F.lower(F.coalesce(F.nullif(title, F.lit("")), F.substring_index(host, ".", 1)))
+def title_name(body: Column) -> Column:
+    """What a page's title says after its last bar, in lower case; empty without one."""
+    return F.lower(F.regexp_extract(body.cast("string"), r"(?is)<title[^>]*>[^<]*\|\s*([^<|]+?)\s*</title", 1))
 
 
 def response_pages(responses: DataFrame) -> DataFrame:
@@ -263,21 +285,40 @@ def cached_pages(cached: DataFrame) -> DataFrame:
     return pages.where(F.octet_length("body") > 0)
 
 
+def with_site(pages: DataFrame) -> DataFrame:
+    """Adds ``site``: the host, without ``www.``; for pages of a mirror the host they were copied from.
+
+    A host's name is what at least half of its titles end with. A host without a name that
+    carries pages of a name that exactly one other host has is a mirror for those.
+    """
+    # written once: the name is read from the whole body, and the pages are gone through three times
+    named = materialise(pages.withColumns({"_host": F.coalesce(site_of(F.col("url")), F.lit("")), "_name": title_name(F.col("body"))}), "site-pages")
+    uses = named.groupBy("_host", "_name").agg(F.count("*").alias("n"))
+    hosts = uses.groupBy("_host").agg(F.sum("n").alias("all"), F.max(F.struct("n", "_name")).alias("m")).where((F.col("m.n") * 2 >= F.col("all")) & (F.col("m._name") != "")).select("_host", F.col("m._name").alias("_own"))
+    hosts = materialise(hosts, "host-names")
+    owners = hosts.groupBy(F.col("_own").alias("_name")).agg(F.count("*").alias("c"), F.min("_host").alias("_from")).where("c = 1").select("_name", "_from")
+    if hosts.count() <= BROADCAST_ROWS:
+        hosts, owners = F.broadcast(hosts), F.broadcast(owners)
+    joined = named.join(hosts, "_host", "left").join(owners, "_name", "left")
+    return joined.withColumn("site", F.when(F.col("_own").isNull() & F.col("_from").isNotNull(), F.col("_from")).otherwise(F.col("_host"))).drop("_host", "_name", "_own", "_from")
+
+
 def by_site(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
-    """Adds ``site``, ``part`` and ``parts``: sites of more than ``block_pages`` pages are dealt into parts by page.
+    """Adds ``site``, ``parts`` and ``unit``: sites of more than ``block_pages`` pages are dealt into parts by page, small sites put together.
 
     What a site repeats on a share of its pages stands in each part on about that share; lines
     that are repeated by count are counted over all parts (``site_lines``). No task gets
-    more than one part. ``parts`` is null for a site of one part.
+    more than one unit, of about ``block_pages`` pages. ``parts`` is null for a site of one part.
     """
-    # written once: the site is read from the whole body, and the pages are gone through three times
-    pages = materialise(pages.withColumn("site", site_name(F.col("url"), F.col("body"))), "site-pages")
-    large = materialise(
-        pages.groupBy("site").count().where(F.col("count") > block_pages).select("site", F.ceil(F.col("count") / block_pages).cast("int").alias("parts")), "large-sites"
-    )
+    pages = with_site(pages)
+    sizes = materialise(pages.groupBy("site").count(), "site-sizes")
+    large = materialise(sizes.where(F.col("count") > block_pages).select("site", F.ceil(F.col("count") / block_pages).cast("int").alias("parts")), "large-sites")
+    units = max(1, int((sizes.agg(F.sum("count")).first()[0] or 0) // block_pages))
     if large.count() <= BROADCAST_ROWS:
         large = F.broadcast(large)
-    return pages.join(large, "site", "left").withColumn("part", F.pmod(F.xxhash64("page_key"), F.coalesce("parts", F.lit(1))).cast("int"))
+    part = F.pmod(F.xxhash64("page_key"), F.col("parts")).cast("string")
+    unit = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("site"), F.lit(units)).cast("string")).otherwise(F.concat("site", F.lit("#"), part))
+    return pages.join(large, "site", "left").withColumn("unit", unit)
 
 
 def decoded(body: bytes, encoding: str | None) -> str:
@@ -291,7 +332,7 @@ def decoded(body: bytes, encoding: str | None) -> str:
 
 
 def site_lines(dealt: DataFrame) -> DataFrame:
-    """``of_site, of_part, line``: for each part of the sites of several parts, the digests of the site's boilerplate lines.
+    """``of_unit, line``: for each part of the sites of several parts, the digests of the site's boilerplate lines.
 
     Pages are counted once for each site and line over all parts, by plain sums over
     distinct (site, line, page) rows; see ``pages.boilerplate_lines`` for sites of one part.
@@ -315,92 +356,70 @@ def site_lines(dealt: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("pages"), F.bool_or("beside").alias("beside"), F.bool_or("item").alias("item"), F.bool_or("long").alias("long"))
     )
     lines = counted.where((F.col("pages") >= ASIDE_PAGES) & ~F.col("item") & (F.col("beside") | (F.col("pages") >= PAGES) & F.col("long")))
-    return lines.select(F.col("site").alias("of_site"), "line", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of_part"))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    return lines.select("site", "line", part).select(F.concat("site", F.lit("#"), F.col("part").cast("string")).alias("of_unit"), "line")
 
 
-def is_residue(text: str) -> bool:
-    """A block that is residue for more than half: what is looked for, however often a site repeats it."""
-    return residue_length(text) > 0.5 * len(text)
+CONTENT = f"origin string, page_key string, site string, status int, template string, blocks array<string>, {FEATURES}"
 
 
 def contents(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
-    """``origin, page_key, site, share, message, template, blocks``: each page's content.
+    """``origin, page_key, site, status, template, blocks`` and the features of each page's content.
 
-    ``share`` is that of residue, ``message`` says whether it is an error message by itself, ``template`` a hash of the content with digits, hosts
-    and paths left out, ``blocks`` the MD5 of each main block. Pages are read as UTF-8
-    where they are that.
+    ``template`` is a hash of the content with digits, hosts and paths left out, ``blocks`` has the
+    MD5 of each main block. The lines that a site repeats by count are no main blocks, but
+    stay in the features: a placeholder is looked for however often its site shows it. Pages are
+    read as UTF-8 where they are that.
     """
 
-    def one(key: tuple, pdf: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+    def site_rows(pdf: pd.DataFrame, lines: set[int] | None) -> list[tuple]:
         parsed = [page_blocks(decoded(b, e), (k,)) for b, e, k in zip(pdf["body"], pdf["encoding"], pdf["page_key"])]
-        several = len(pdf) and pd.notna(pdf["parts"].iloc[0])
-        repeated_blocks(parsed, lines=set(lines["line"]) if several else None, spare=is_residue)
+        owners = repeated_blocks(parsed)
+        texts = [content_blocks(p) for p in parsed]
+        cover_lines(parsed, owners, lines)
         rows = []
-        for page, origin, key, site, url, status in zip(parsed, pdf["origin"], pdf["page_key"], pdf["site"], pdf["url"], pdf["status"]):
-            texts = content_blocks(page)
-            share = residue_share(texts)
-            template = template_key(texts, _host(url))
-            rows.append(
-                (
-                    origin,
-                    key,
-                    site,
-                    share,
-                    is_message(texts, share, status if pd.notna(status) else None),
-                    hashlib.md5(template.encode("utf-8", "replace")).hexdigest() if texts else None,
-                    [hashlib.md5(t.encode("utf-8", "replace")).hexdigest() for t in dict.fromkeys(texts)],
-                )
-            )
-        return pd.DataFrame(rows, columns=["origin", "page_key", "site", "share", "message", "template", "blocks"])
-
-    schema = "origin string, page_key string, site string, share double, message boolean, template string, blocks array<string>"
-    dealt = by_site(pages, block_pages)
-    return dealt.groupBy("site", "part").cogroup(site_lines(dealt).groupBy("of_site", "of_part")).applyInPandas(one, schema)
+        for page, own, origin, key, site, status, url in zip(parsed, texts, pdf["origin"], pdf["page_key"], pdf["site"], pdf["status"], pdf["url"]):
+            blocks = [hashlib.md5(t.encode("utf-8", "replace")).hexdigest() for t in dict.fromkeys(content_blocks(page))]
+            rows.append((origin, key, site, status if pd.notna(status) else None, template_hash(own, url), blocks, *content_features(own)))
+        return rows
 
+    def one(key: tuple, pdf: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        for _, part in pdf.groupby("site", sort=False):
+            rows += site_rows(part, set(lines["line"]) if pd.notna(part["parts"].iloc[0]) else None)
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in CONTENT.split(", ")]).astype({"status": "Int32"})
 
-def _host(url: str | None) -> str:
-    try:
-        return urlsplit(url or "").hostname or ""
-    except ValueError:
-        return ""
-
+    dealt = by_site(pages, block_pages)
+    return dealt.groupBy("unit").cogroup(site_lines(dealt).groupBy("of_unit")).applyInPandas(one, CONTENT)
 
-def error_templates(found: DataFrame, sites: int = TEMPLATE_SITES) -> DataFrame:
-    """``template`` of the contents that come back on at least ``sites`` sites and are messages on a good part of their pages.
 
-    Without the second an article or press text that several sites carry would be one.
-    """
-    by_sites = found.where(F.col("template").isNotNull()).groupBy("template", "site").agg(F.count("*").alias("pages"), F.count_if("message").alias("messages"))
-    counted = by_sites.groupBy("template").agg(F.count("*").alias("sites"), F.sum("pages").alias("pages"), F.sum("messages").alias("messages"))
-    return counted.where((F.col("sites") >= sites) & (F.col("messages") >= MESSAGES * F.col("pages"))).select("template")
+def json_contents(responses: DataFrame) -> DataFrame:
+    """The same of JSON responses, whose content are their strings; ``blocks`` is empty. Adds ``failed``."""
+    apis = responses.where(F.col("response_id").isNotNull() & (media_type(F.col("headers")) == "application/json") & (F.octet_length("body") > 0))
+    read = apis.select(F.col("response_id").cast("string").alias("page_key"), F.coalesce(site_of(F.col("url")), F.lit("")).alias("site"), "url", status_of(responses), "encoding", "body")
 
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, site, url, status, encoding, body in pdf.itertuples(index=False):
+                source = decoded(body, encoding)
+                texts = json_texts(source)
+                rows.append(("responses", key, site, status if pd.notna(status) else None, template_hash(texts, url), [], *content_features(texts), json_reports_error(source)))
+            yield pd.DataFrame(rows, columns=[*[c.split()[0] for c in CONTENT.split(", ")], "failed"]).astype({"status": "Int32"})
 
-def with_cases(found: DataFrame) -> DataFrame:
-    """``found`` with ``residue``: more than half of the content is residue, or all of it an error template."""
-    templates = materialise(error_templates(found), "error-templates")
-    if templates.count() <= BROADCAST_ROWS:
-        templates = F.broadcast(templates)
-    marked = found.join(templates.withColumn("_again", F.lit(True)), "template", "left")
-    return marked.withColumn("residue", (F.col("share") > 0.5) | F.coalesce("_again", F.lit(False))).drop("_again")
+    return read.mapInPandas(scan, CONTENT + ", failed boolean")
 
 
 def residue_responses(responses: DataFrame) -> DataFrame:
     """``response_id`` of the responses whose content is template residue or an error message.
 
-    HTML by the contents of their sites' pages, JSON by their strings. Responses with
-    other or no content type, with empty or null bodies or null ids, and pages without
-    any content are no cases.
+    HTML by the contents of their sites' pages, JSON by its strings, and by members that say
+    it failed where there is nothing else. Responses with other or no content type, with empty
+    or null bodies or null ids, and pages without any content are no cases.
     """
-    found = materialise(contents(response_pages(responses)).select("page_key", "site", "share", "message", "template"), "contents")
-    pages = with_cases(found).where("residue").select(F.col("page_key").cast("long").alias("response_id"))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            hit = [json_is_residue(decoded(b, e)) for b, e in zip(pdf["body"], pdf["encoding"])]
-            yield pdf.loc[hit, ["response_id"]]
-
-    apis = responses.where(F.col("response_id").isNotNull() & (media_type(F.col("headers")) == "application/json") & (F.octet_length("body") > 0)).select("response_id", "encoding", "body")
-    return pages.unionByName(apis.mapInPandas(scan, "response_id long"))
+    pages = contents(response_pages(responses)).withColumn("failed", F.lit(False))
+    found = materialise(pages.unionByName(json_contents(responses)).drop("blocks"), "contents")
+    return with_cases(found).where(F.col("residue") | F.col("failed")).select(F.col("page_key").cast("long").alias("response_id"))
 
 
 def main_content(responses: DataFrame, cached: DataFrame) -> DataFrame:
