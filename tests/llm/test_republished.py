@@ -12,5 +12,5 @@ def test_republished_article_stays_whole(spark, monkeypatch):
     rows += [(i, None, "https://s.test/", text, f"own {'abcdefghij'[i]}\nread the terms".encode(), datetime(2026, 1, i), None) for i in range(5, 9)]
     tables = {"responses": spark.createDataFrame(rows, RESPONSES), "requests": spark.createDataFrame([], "request_id long, url string")}
     monkeypatch.setattr(queries, "table", lambda _, __, name: tables[name])
-    got = {r.response_id: r.text for r in queries.QUERIES["p5_cleaned_boilerplate"](spark, "").collect()}
+    got = {r.response_id: r.text for r in queries.QUERIES["p5_cleaned"](spark, "").collect()}
     assert got[1] == "an article\nof two lines" and got[5] == "own f"

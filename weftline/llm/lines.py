@@ -18,25 +18,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weftline.functions.http import host, media_type
 from weftline.session import materialise
 
 HOT_SHARE = 1000
-
-
-def header(headers: Column, name: str) -> Column:
-    """Value of a header, whatever the letter case of its name; null without one."""
-    return F.get(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == name)), F.lit(0))
-
-
-def media_type(headers: Column) -> Column:
-    """Content type without parameters, in lower case."""
-    return F.lower(F.trim(F.substring_index(header(headers, "content-type"), ";", 1)))
+#: Copies of one document that make up more than ``1 / HOT_SHARE`` of all are dealt over so many tasks.
+SALTS = 64
+#: Up to so many request ids, of 8 bytes each, are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def site_of(url: Column) -> Column:
     """Host in lower case, without user, port and leading ``www.``; null where there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(host(url), r"^www\.", ""), F.lit(""))
 
 
 def utf8(body: str) -> Column:
@@ -61,9 +55,13 @@ def text_documents(responses: DataFrame, requests: DataFrame) -> DataFrame:
     plain = responses.where(F.col("response_id").isNotNull() & (media_type(F.col("headers")) == "text/plain")).select(
         "response_id", "request_id", site_of(F.col("url")).alias("_own"), F.to_date("fetched_at").alias("day"), "body"
     )
-    # requests are many and wide; only the site of each is kept, once for each id
+    # requests are many and wide; only the sites of those wanted are kept, once for each id
+    wanted = plain.where(F.col("request_id").isNotNull()).select("request_id").distinct()
+    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     asked = (
         requests.where(F.col("request_id").isNotNull())
+        .join(wanted, "request_id", "left_semi")
         .select("request_id", site_of(F.col("url")).alias("_site"))
         .groupBy("request_id")
         .agg(F.min("_site").alias("_site"))
@@ -141,8 +139,20 @@ class RepeatedLines:
         return marked.where(F.col("_hot")).drop("_hot").unionByName(cold).select("site", "cluster", "line_no")
 
     def found(self) -> DataFrame:
-        """``response_id, line_no`` of each repeated line of each response."""
-        return self.members.join(self.found_in_clusters(), ["site", "cluster"]).select("response_id", "line_no").distinct()
+        """``response_id, line_no`` of each repeated line of each response.
+
+        The copies of a document that is republished a great many times are dealt over
+        ``SALTS`` tasks, each with the document's lines; there are at most ``HOT_SHARE`` such documents.
+        """
+        lines = materialise(self.found_in_clusters(), "found-lines")
+        total = self.members.count()  # from the files' footers
+        hot = self.members.groupBy("site", "cluster").agg(F.count("*").alias("_n")).where(F.col("_n") * HOT_SHARE > total).select("site", "cluster", F.lit(True).alias("_hot"))
+        hot = F.broadcast(materialise(hot, "hot-documents"))
+        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("response_id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("_salt")
+        members = self.members.join(hot, ["site", "cluster"], "left").select("site", "cluster", "response_id", salt)
+        salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        lines = lines.join(hot, ["site", "cluster"], "left").select("site", "cluster", "line_no", F.explode(salts).alias("_salt"))
+        return members.join(lines, ["site", "cluster", "_salt"]).select("response_id", "line_no").distinct()
 
     def cleaned(self) -> DataFrame:
         """``response_id, text``: each document without its repeated lines. Documents without body keep a null text."""

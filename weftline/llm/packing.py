@@ -98,3 +98,21 @@ def fill_report(packed: DataFrame, capacities: list[tuple[int, int]]) -> DataFra
         .withColumn("capacity", F.element_at(room, F.col("window_id")))
         .withColumn("unused", 1 - F.col("tokens") / (F.col("bins") * F.col("capacity")))
     )
+
+
+def validity(packed: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
+    """For each window size: documents, bins over the capacity, documents split although they fit, and documents with a piece missing.
+
+    A document longer than the capacity has pieces of the capacity and a rest, without gaps; all others are whole.
+    """
+    room = F.create_map(*[F.lit(x) for pair in capacities for x in pair])
+    capacity = F.element_at(room, F.col("window_id"))
+    bins = packed.groupBy("window_id", "group_no", "bin_no").agg(F.sum("n_tokens").alias("t"))
+    over = bins.groupBy("window_id").agg(F.count_if(F.col("t") > capacity).alias("overfull_bins"))
+    documents = packed.groupBy("window_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("t"), F.max("piece_no").alias("last"), F.count_if(F.col("piece_start") != F.col("piece_no") * capacity).alias("gaps"))
+    found = documents.groupBy("window_id").agg(
+        F.count("*").alias("documents"),
+        F.count_if((F.col("pieces") > 1) & (F.col("t") <= capacity)).alias("wrongly_split"),
+        F.count_if((F.col("last") + 1 != F.col("pieces")) | (F.col("gaps") > 0) | (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("t") / capacity)))).alias("incomplete"),
+    )
+    return found.join(over, "window_id").select("window_id", "documents", "overfull_bins", "wrongly_split", "incomplete")
