@@ -155,16 +155,17 @@ def page_blocks(source: str, key: tuple = ()) -> Page:
 def window_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     """For each suffix a number, the same for suffixes that agree in their first ``depth`` tokens (a power of two).
 
-    Prefix doubling: the ranks of depth 2k are those of the pairs (rank at i, rank at i + k).
+    Prefix doubling: the names of depth 2k are those of the pairs (name at i, name at i + k),
+    mixed into 64 bits; they are ranked once, at the full depth.
     """
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+    name = tokens.astype(np.uint64) + np.uint64(1)
     step = 1
     while step < depth:
-        ahead = np.full(len(rank), -1, dtype=np.int64)
-        ahead[:-step] = rank[step:]
-        rank = np.unique(rank * (rank.max(initial=0) + 2) + ahead + 1, return_inverse=True)[1].astype(np.int64)
+        ahead = np.zeros(len(name), dtype=np.uint64)
+        ahead[:-step] = name[step:]
+        name = (name ^ (name >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ahead * np.uint64(0xBF58476D1CE4E5B9)
         step *= 2
-    return rank
+    return np.unique(name, return_inverse=True)[1].astype(np.int64)
 
 
 def distinct_owners(groups: np.ndarray, owners: np.ndarray) -> np.ndarray:
@@ -284,11 +285,11 @@ def _cover_repeats(pages: list[Page], owners_of: list[str], share: float, window
     whole = np.fromiter((ids.setdefault(b.text, len(ids)) for b in blocks), np.int64, len(blocks))
     again = distinct_owners(whole, block_owner) >= least
 
+    # each distinct text is cut once; a boundary token (0) stands before each block
     words: dict[str, int] = {"": 0}
-    found = [[words.setdefault(t, len(words)) for t in TOKEN.findall(b.text)] for b in blocks]
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    # a boundary token (0) before each block
-    tokens = np.fromiter((t for f in found for t in (0, *f)), np.int64, int(lengths.sum() + len(found)))
+    cut = [np.array([0, *(words.setdefault(t, len(words)) for t in TOKEN.findall(text))], dtype=np.int64) for text in ids]
+    lengths = np.fromiter(map(len, cut), np.int64, len(cut))[whole] - 1
+    tokens = np.concatenate([cut[i] for i in whole.tolist()])
     starts = np.cumsum(lengths + 1) - (lengths + 1)
     token_owner = np.repeat(block_owner, lengths + 1)
     ranks = window_ranks(tokens, window)

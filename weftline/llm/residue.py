@@ -65,20 +65,27 @@ BROADCAST_ROWS = 100_000
 # --- contents as features ----------------------------------------------------------
 
 
+_WORDS: dict[str, tuple[int, ...]] = {}
+
+
+def word_hashes(word: str) -> tuple[int, ...]:
+    """One number for a word, any number being one word; scripts without spaces are cut into three characters."""
+    found = _WORDS.get(word)
+    if found is None:
+        if len(_WORDS) > 400_000:
+            _WORDS.clear()
+        parts = ["0"] if word[0].isdigit() else [word[i : i + 3] for i in range(len(word) - 2)] if len(word) > 5 and word[0] > "\u2e80" else [word]
+        found = _WORDS[word] = tuple(zlib.crc32(x.encode("utf-8", "replace")) for x in parts)
+    return found
+
+
 def features(sentence: str) -> list[int]:
-    """The places of a sentence's words and pairs of neighbouring words; digits are one word, scripts without spaces are cut into three characters."""
-    words: list[str] = []
-    for w in WORD.findall(sentence.lower()):
-        if w[0].isdigit():
-            words.append("0")
-        elif len(w) > 5 and w[0] > "\u2e80":
-            words += [w[i : i + 3] for i in range(len(w) - 2)]
-        else:
-            words.append(w)
+    """The places of a sentence's words and pairs of neighbouring words, the sentence's ends being words."""
+    words = [h for w in WORD.findall(sentence.lower()) for h in word_hashes(w)]
     if not words:
         return []
-    pairs = [f"{a} {b}" for a, b in zip(["^", *words], [*words, "$"])]
-    return [zlib.crc32(x.encode("utf-8", "replace")) & (BUCKETS - 1) for x in words + pairs]
+    pairs = [(a * 0x9E3779B1 + b * 0x85EBCA77 >> 11) & (BUCKETS - 1) for a, b in zip([1, *words], [*words, 2])]
+    return [h & (BUCKETS - 1) for h in words] + pairs
 
 
 FEATURES = "size int, slots int, lengths binary, slot_chars binary, counts binary, places binary"
@@ -363,9 +370,11 @@ def site_lines(dealt: DataFrame) -> DataFrame:
 CONTENT = f"origin string, page_key string, site string, status int, template string, blocks array<string>, {FEATURES}"
 
 
-def contents(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
+def contents(pages: DataFrame, block_pages: int = BLOCK_PAGES, with_blocks: bool = True) -> DataFrame:
     """``origin, page_key, site, status, template, blocks`` and the features of each page's content.
 
+    Without ``with_blocks`` the blocks are left empty, and lines aren't counted, which only they need.
+
     ``template`` is a hash of the content with digits, hosts and paths left out, ``blocks`` has the
     MD5 of each main block. The lines that a site repeats by count are no main blocks, but
     stay in the features: a placeholder is looked for however often its site shows it. Pages are
@@ -376,21 +385,30 @@ def contents(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
         parsed = [page_blocks(decoded(b, e), (k,)) for b, e, k in zip(pdf["body"], pdf["encoding"], pdf["page_key"])]
         owners = repeated_blocks(parsed)
         texts = [content_blocks(p) for p in parsed]
-        cover_lines(parsed, owners, lines)
+        if with_blocks:
+            cover_lines(parsed, owners, lines)
         rows = []
         for page, own, origin, key, site, status, url in zip(parsed, texts, pdf["origin"], pdf["page_key"], pdf["site"], pdf["status"], pdf["url"]):
-            blocks = [hashlib.md5(t.encode("utf-8", "replace")).hexdigest() for t in dict.fromkeys(content_blocks(page))]
+            blocks = [hashlib.md5(t.encode("utf-8", "replace")).hexdigest() for t in dict.fromkeys(content_blocks(page))] if with_blocks else []
             rows.append((origin, key, site, status if pd.notna(status) else None, template_hash(own, url), blocks, *content_features(own)))
         return rows
 
-    def one(key: tuple, pdf: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame, lines: set[int] | None = None) -> pd.DataFrame:
         rows: list[tuple] = []
         for _, part in pdf.groupby("site", sort=False):
-            rows += site_rows(part, set(lines["line"]) if pd.notna(part["parts"].iloc[0]) else None)
+            rows += site_rows(part, lines if pd.notna(part["parts"].iloc[0]) else None)
         return pd.DataFrame(rows, columns=[c.split()[0] for c in CONTENT.split(", ")]).astype({"status": "Int32"})
 
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        return one(pdf)
+
+    def with_lines(pdf: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        return one(pdf, set(lines["line"]))
+
     dealt = by_site(pages, block_pages)
-    return dealt.groupBy("unit").cogroup(site_lines(dealt).groupBy("of_unit")).applyInPandas(one, CONTENT)
+    if not with_blocks:
+        return dealt.groupBy("unit").applyInPandas(alone, CONTENT)
+    return dealt.groupBy("unit").cogroup(site_lines(dealt).groupBy("of_unit")).applyInPandas(with_lines, CONTENT)
 
 
 def json_contents(responses: DataFrame) -> DataFrame:
@@ -417,7 +435,7 @@ def residue_responses(responses: DataFrame) -> DataFrame:
     it failed where there is nothing else. Responses with other or no content type, with empty
     or null bodies or null ids, and pages without any content are no cases.
     """
-    pages = contents(response_pages(responses)).withColumn("failed", F.lit(False))
+    pages = contents(response_pages(responses), with_blocks=False).withColumn("failed", F.lit(False))
     found = materialise(pages.unionByName(json_contents(responses)).drop("blocks"), "contents")
     return with_cases(found).where(F.col("residue") | F.col("failed")).select(F.col("page_key").cast("long").alias("response_id"))
 
