@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from weftline.functions import http
 from weftline.functions.text import ColumnLike, col
@@ -97,9 +99,9 @@ def dequeue(frontier: DataFrame, count: int, order: str = "enqueue_no") -> DataF
     return snapshot(frontier, order).limit(count)
 
 
-def retry_blocked(requests: DataFrame, statuses: DataFrame, most: int = MAX_BLOCKED_RETRIES) -> DataFrame:
+def retry_blocked(requests: DataFrame, statuses: DataFrame, most: int = MAX_BLOCKED_RETRIES, blocked: Column | None = None) -> DataFrame:
     """Requests (``request_id``) with a blocked response, to be tried again at a lower priority."""
-    blocked = statuses.where(http.is_blocked("status")).select("request_id").distinct()
+    blocked = statuses.where(http.is_blocked("status") if blocked is None else blocked).select("request_id").distinct()
     again = requests.where(F.coalesce("retry_count", F.lit(0)) < most).join(blocked, "request_id", "left_semi")
     return again.withColumns({"retry_count": F.coalesce("retry_count", F.lit(0)) + 1, "priority": F.col("priority") - 1, "dont_filter": F.lit(True)})
 
@@ -152,7 +154,6 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     agent = F.last(F.when(F.col("key") == "user-agent", F.col("value")), ignorenulls=True).over(Window.partitionBy("domain").orderBy("no").rowsBetween(Window.unboundedPreceding, 0))
     ruled = parts.withColumn("_on", F.coalesce(agent == "*", F.lit(False)))
     rule = F.when(F.col("_on") & (F.col("key") == "disallow") & (F.col("value") != ""), F.struct("no", "value"))
-    delay = F.when(F.col("_on") & (F.col("key") == "crawl-delay"), F.try_to_number("value", F.lit("999999999.999999")).cast("double"))
     delay = F.when(F.col("_on") & (F.col("key") == "crawl-delay") & F.col("value").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.col("value").cast("double"))
     return ruled.groupBy("domain").agg(F.array_sort(F.collect_list(rule)).alias("_r"), F.max_by(delay, F.when(delay.isNotNull(), F.col("no"))).alias("crawl_delay")).select("domain", F.col("_r.value").alias("disallowed"), "crawl_delay")
 
@@ -244,6 +245,24 @@ class ProxyRotator:
 # --- cache and checkpoints -------------------------------------------------------
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder; errors of the storage are raised, not taken for an absence."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def latest(table: DataFrame, key: str, order: str, *fields: str) -> DataFrame:
+    """``key, last`` with the fields of the row of greatest ``order`` for each key; ties go to the greatest fields, so that the answer is always the same."""
+    kinds = dict(table.dtypes)
+    ties = [F.to_json(F.struct(f)) if "map<" in kinds[f] or kinds[f] in ("binary", "variant") else F.col(f) for f in fields]
+    return table.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(F.col(order).alias("_o"), *[t.alias(f"_t{i}") for i, t in enumerate(ties)])).alias("last"))
+
+
 class ResponseCache:
     """Responses by fingerprint in a parquet table; the last one put for a key holds."""
 
@@ -255,21 +274,22 @@ class ResponseCache:
 
     def get(self, requests: DataFrame) -> DataFrame:
         """Requests with the cached response in ``cached`` (null for a miss)."""
-        try:
-            table = self.spark.read.parquet(self.path)
-        except Exception:  # nothing was put yet
+        if not path_exists(self.spark, self.path):
             return requests.withColumn("cached", F.lit(None).cast("string"))
+        table = self.spark.read.parquet(self.path)
         fields = [c for c in table.columns if c not in ("fingerprint", "cached_at")]
-        last = table.groupBy("fingerprint").agg(F.max_by(F.struct(*fields), "cached_at").alias("cached"))
+        last = latest(table, "fingerprint", "cached_at", *fields).withColumnRenamed("last", "cached")
         return requests.join(last, "fingerprint", "left")
 
     def clear(self) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        remove_path(self.spark, self.path)
 
 
 class Checkpoint:
-    """Frontier and seen fingerprints of a crawl, written under a new name and then named current."""
+    """Frontier and seen fingerprints of a crawl, written under a new name and then named current.
+
+    ``interval``: seconds from one checkpoint to the next; 0 writes one only for a pause.
+    """
 
     def __init__(self, spark: SparkSession, path: str, interval: float = 0.0):
         if interval < 0:
@@ -279,22 +299,64 @@ class Checkpoint:
     def due(self, elapsed: float) -> bool:
         return self.interval > 0 and elapsed >= self.interval
 
-    def save(self, frontier: DataFrame, seen: DataFrame, number: int) -> None:
+    def save(self, frontier: DataFrame, seen: DataFrame, number: int, next_no: int = 0) -> None:
         frontier.write.mode("overwrite").parquet(f"{self.path}/{number:08d}/frontier")
         seen.select("fingerprint").write.mode("overwrite").parquet(f"{self.path}/{number:08d}/seen")
-        self.spark.range(1).select(F.lit(number).alias("number")).coalesce(1).write.mode("append").json(f"{self.path}/done")
+        self.spark.range(1).select(F.lit(number).alias("number"), F.lit(next_no).cast("long").alias("next_no")).coalesce(1).write.mode("append").json(f"{self.path}/done")
+
+    def last(self) -> tuple[int, int] | None:
+        """Number and next ``enqueue_no`` of the last complete checkpoint; null without one."""
+        if not path_exists(self.spark, f"{self.path}/done"):
+            return None
+        row = self.spark.read.schema("number int, next_no long").json(f"{self.path}/done").agg(F.max(F.struct("number", "next_no")).alias("m")).first()
+        return (row.m.number, row.m.next_no or 0) if row.m is not None and row.m.number is not None else None
 
     def load(self) -> tuple[DataFrame, DataFrame] | None:
-        """The last complete checkpoint; null without one, or if it can't be read."""
-        try:
-            number = self.spark.read.json(f"{self.path}/done").agg(F.max("number")).first()[0]
-            return self.spark.read.parquet(f"{self.path}/{number:08d}/frontier"), self.spark.read.parquet(f"{self.path}/{number:08d}/seen")
-        except Exception:
+        """The tables of the last complete checkpoint; null without one, or if one of them is gone."""
+        last = self.last()
+        if last is None:
             return None
+        paths = [f"{self.path}/{last[0]:08d}/{name}" for name in ("frontier", "seen")]
+        return tuple(map(self.spark.read.parquet, paths)) if all(path_exists(self.spark, p) for p in paths) else None
 
     def cleanup(self) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        remove_path(self.spark, self.path)
+
+
+# --- robots files ----------------------------------------------------------------
+
+
+def robots_urls(requests: DataFrame) -> DataFrame:
+    """``domain, url`` of the robots file of each host asked for, once for each."""
+    hosts = requests.select(http.host("url").alias("domain")).where("domain != ''").distinct()
+    return hosts.select("domain", F.concat(F.lit("https://"), "domain", F.lit("/robots.txt")).alias("url"))
+
+
+def fetch_robots(requests: DataFrame, fetch: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
+    """``domain, content`` of the hosts that are not ``known`` yet; null content, which allows all, where the fetch gave no success."""
+    asked = robots_urls(requests)
+    if known is not None:
+        asked = asked.join(known.select("domain"), "domain", "left_anti")
+    got = fetch(asked.withColumn("request_id", F.xxhash64("domain"))).select("request_id", "status", "body")
+    text = F.when(http.status_class("status") == "success", F.make_valid_utf8(F.col("body").cast("string")))
+    return asked.withColumn("request_id", F.xxhash64("domain")).join(got, "request_id", "left").groupBy("domain").agg(F.max(text).alias("content"))
+
+
+# --- requests as values ----------------------------------------------------------
+
+
+def same_request(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of ``a`` that equal a row of ``b``: by fingerprint where both have one, else by url."""
+    prints = a.where(F.col("fingerprint").isNotNull()).join(b.where(F.col("fingerprint").isNotNull()).select("fingerprint").distinct(), "fingerprint", "left_semi")
+    bare = b.where(F.col("fingerprint").isNull()).select("url").distinct()
+    by_url = a.where(F.col("fingerprint").isNotNull()).join(b.where(F.col("fingerprint").isNotNull()).select("fingerprint").distinct(), "fingerprint", "left_anti").join(bare, "url", "left_semi")
+    loose = a.where(F.col("fingerprint").isNull()).join(b.select("url").distinct(), "url", "left_semi")
+    return prints.select(*a.columns).unionByName(by_url.select(*a.columns)).unionByName(loose.select(*a.columns))
+
+
+def without_callback(requests: DataFrame) -> DataFrame:
+    """Copies without a callback; the fingerprint stays."""
+    return requests.withColumn("callback_name", F.lit(None).cast("string"))
 
 
 # --- the crawl in rounds ---------------------------------------------------------
@@ -302,7 +364,11 @@ class Checkpoint:
 
 @dataclass
 class Spider:
-    """What to crawl. ``parse`` maps fetched pages to links (``url``) and items (any columns)."""
+    """What to crawl. ``parse`` maps fetched pages to links (``url``) and items (any columns).
+
+    ``on_start`` and ``on_close`` get the result so far, ``on_error`` the failed responses of a
+    round; ``blocked`` says by a Column which responses are blocked.
+    """
 
     name: str
     start_urls: list[str]
@@ -312,6 +378,11 @@ class Spider:
     batch: int = 10_000
     max_rounds: int = 100
     on_item: Callable[[DataFrame], DataFrame] = lambda items: items
+    on_start: Callable[[CrawlResult], None] = lambda result: None
+    on_close: Callable[[CrawlResult], None] = lambda result: None
+    on_error: Callable[[DataFrame], None] = lambda failed: None
+    blocked: Callable[[], Column] = lambda: http.is_blocked("status")
+    fingerprint_flags: dict[str, bool] = field(default_factory=dict)
 
 
 @dataclass
@@ -319,6 +390,7 @@ class CrawlResult:
     stats: dict[str, int] = field(default_factory=dict)
     items: list[DataFrame] = field(default_factory=list)
     paused: bool = False
+    stopped: bool = False
     rounds: int = 0
 
 
@@ -326,67 +398,107 @@ class CrawlEngine:
     """Runs a spider in rounds: each is one job from the next requests of the frontier to links and items.
 
     ``fetch`` maps requests to responses ``request_id, url, status, body``; offline it is a
-    join with a table of pages. Frontier and seen keys are written after each round; that
-    is the checkpoint. Responses and items of each round stay below ``path``.
+    join with a table of pages. A request passes the robots rules, then the cache, then the
+    fetch; what was fetched and isn't blocked goes into the cache. Each round's state is
+    written below ``path``; it becomes a checkpoint when one is due and for a pause. A second
+    request to pause stops the crawl without one. ``robots`` is a table ``domain, content``;
+    without it the robots files are fetched once for each host.
     """
 
-    def __init__(self, spark: SparkSession, spider: Spider, fetch: Callable[[DataFrame], DataFrame], path: str, robots: DataFrame | None = None):
-        self.spark, self.spider, self.fetch, self.path, self.robots = spark, spider, fetch, path, robots
-        self.checkpoint = Checkpoint(spark, f"{path}/checkpoint")
-        self.pause_requested = False
+    def __init__(self, spark: SparkSession, spider: Spider, fetch: Callable[[DataFrame], DataFrame], path: str, robots: DataFrame | None = None, cache: ResponseCache | None = None, interval: float = 0.0):
+        self.spark, self.spider, self.fetch, self.path, self.robots, self.cache = spark, spider, fetch, path, robots, cache
+        self.checkpoint = Checkpoint(spark, f"{path}/checkpoint", interval)
+        self.pause_requested = self.force_requested = False
 
     def request_pause(self) -> None:
-        self.pause_requested = True
+        """The first call pauses after the round, with a checkpoint; the second stops at once."""
+        self.force_requested, self.pause_requested = self.pause_requested, True
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         """Written below the crawl's path and read again: fetched once, whatever is done with it."""
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
-    def _prepared(self, urls: DataFrame, base: int) -> DataFrame:
+    def _prepared(self, urls: DataFrame, next_no: int) -> DataFrame:
+        """Requests numbered from ``next_no`` on; no later number is below those given here."""
         kept = urls.where(F.col("url").isNotNull() & domain_allowed("url", self.spider.allowed_domains)).select("url").distinct()
-        numbered = with_fingerprint(make_requests(kept)).withColumn("enqueue_no", F.monotonically_increasing_id() + F.lit(base << 40))
+        numbered = with_fingerprint(make_requests(kept), **self.spider.fingerprint_flags).withColumn("enqueue_no", F.monotonically_increasing_id() + F.lit(next_no).cast("long"))
         return numbered.withColumn("request_id", F.col("enqueue_no"))
 
+    def _responses(self, now: DataFrame, number: int, stats: dict[str, int]) -> DataFrame:
+        """Responses of a round: from the cache, else fetched and, unless blocked, put into the cache."""
+        if self.cache is None:
+            return self._kept(self.fetch(now), f"responses/{number:08d}")
+        asked = self._kept(self.cache.get(now), f"asked/{number:08d}")
+        misses = asked.where(F.col("cached").isNull()).drop("cached")
+        fetched = self._kept(self.fetch(misses), f"responses/{number:08d}")
+        good = fetched.where(~self.spider.blocked()).join(misses.select("request_id", "fingerprint"), "request_id")
+        self.cache.put(good.drop("request_id"))
+        if isinstance(asked.schema["cached"].dataType, StructType):
+            hits = asked.where(F.col("cached").isNotNull()).select("request_id", *[F.col("cached")[c].alias(c) for c in fetched.columns if c != "request_id"])
+            stats["cached"] += hits.count()
+            fetched = fetched.unionByName(hits)
+        return fetched
+
+    def _rules(self, now: DataFrame, known: DataFrame | None, number: int) -> DataFrame | None:
+        """``domain, content`` known after this round's hosts were asked for."""
+        if not self.spider.robots_obey or self.robots is not None:
+            return self.robots if self.spider.robots_obey else None
+        new = self._kept(fetch_robots(now, self.fetch, known), f"robots/{number:08d}")
+        return new if known is None else known.unionByName(new)
+
     def crawl(self) -> CrawlResult:
-        result = CrawlResult(stats={"requests": 0, "responses": 0, "blocked": 0, "robots_denied": 0})
-        rules = robots_rules(self.robots) if self.robots is not None and self.spider.robots_obey else None
+        result = CrawlResult(stats={"requests": 0, "responses": 0, "blocked": 0, "robots_denied": 0, "cached": 0})
+        spider = self.spider
+        spider.on_start(result)
         restored = self.checkpoint.load()
         if restored:
-            frontier, seen = restored
-            number = 1_000
+            (frontier, seen), (number, next_no) = restored, self.checkpoint.last()
         else:
-            start = self.spark.createDataFrame([(u,) for u in self.spider.start_urls], "url string")
+            start = self.spark.createDataFrame([(u,) for u in spider.start_urls], "url string")
             frontier = enqueue(self._prepared(start, 0))
-            seen, number = frontier.select("fingerprint"), 0
-        while result.rounds < self.spider.max_rounds:
+            seen, number, next_no = frontier.select("fingerprint"), 0, 0
+        robots, saved_at = None, time.monotonic()
+        while result.rounds < spider.max_rounds:
             number += 1
-            self.checkpoint.save(frontier, seen, number)
-            frontier, seen = self.checkpoint.load()
+            frontier, seen = self._kept(frontier, f"state/{number:08d}/frontier"), self._kept(seen, f"state/{number:08d}/seen")
+            next_no = max(next_no, 1 + (frontier.agg(F.max("enqueue_no")).first()[0] or 0))
+            if self.force_requested:
+                result.stopped = True
+                break
+            if self.pause_requested or self.checkpoint.due(time.monotonic() - saved_at):
+                self.checkpoint.save(frontier, seen, number, next_no)
+                saved_at = time.monotonic()
             if self.pause_requested:
                 result.paused = True
-                return result
-            now = dequeue(frontier, self.spider.batch)
+                break
+            now = self._kept(dequeue(frontier, spider.batch), f"state/{number:08d}/now")
             size = now.count()
             if not size:
                 break
             result.rounds += 1
-            rest = frontier.join(now.select("request_id"), "request_id", "left_anti")
-            if rules is not None:
-                now = can_fetch(now, rules)
+            rest = frontier.join(now.select("fingerprint", "enqueue_no"), ["fingerprint", "enqueue_no"], "left_anti")
+            robots = self._rules(now, robots, number)
+            if robots is not None:
+                now = can_fetch(now, robots_rules(robots))
                 result.stats["robots_denied"] += now.where(~F.col("can_fetch")).count()
                 now = now.where("can_fetch").drop("can_fetch")
-            got = self._kept(self.fetch(now), f"responses/{number:08d}")
-            again = retry_blocked(now, got)
-            good = got.where(~http.is_blocked("status"))
-            links, items = self.spider.parse(good)
+            got = self._responses(now, number, result.stats)
+            failed = got.where(spider.blocked())
+            again = retry_blocked(now, got, blocked=spider.blocked())
+            links, items = spider.parse(got.where(~spider.blocked()))
             result.stats["requests"] += size
             result.stats["responses"] += got.count()
-            result.stats["blocked"] += got.where(http.is_blocked("status")).count()
+            blocked = failed.count()
+            result.stats["blocked"] += blocked
+            if blocked:
+                spider.on_error(failed)
             if items is not None:
-                result.items.append(self._kept(self.spider.on_item(items), f"items/{number:08d}"))
-            fresh = enqueue(self._prepared(links, number), seen)
+                result.items.append(self._kept(spider.on_item(items), f"items/{number:08d}"))
+            fresh = enqueue(self._prepared(links, next_no), seen)
             seen = seen.select("fingerprint").unionByName(fresh.select("fingerprint")).distinct()
             frontier = rest.unionByName(again.select(*rest.columns)).unionByName(fresh.select(*rest.columns))
-        self.checkpoint.cleanup()
+        if not result.paused and not result.stopped:
+            self.checkpoint.cleanup()
+        spider.on_close(result)
         return result

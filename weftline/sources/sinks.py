@@ -7,6 +7,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, functions as F
 
+from weftline.functions import tree
+from weftline.functions.css import select_values
+
 
 def write_jsonl(items: DataFrame, path: str) -> None:
     """A folder of JSON lines files, written by the executors."""
@@ -27,3 +30,15 @@ def write_json(items: DataFrame, path: str, indent: int | None = None) -> None:
 def file_format(path: str) -> str:
     """What a file of this name holds: ``text``, ``json`` or the raw ``body``."""
     return {".txt": "text", ".json": "json", ".md": "markdown"}.get(Path(path).suffix.lower(), "body")
+
+
+def write_page(source: str, path: str) -> None:
+    """One page into one local file: ``.txt`` gets the root's direct text, ``.json`` the list of the body's direct texts, others the source."""
+    root = tree.parse(source)
+    kind = file_format(path)
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    if kind == "json":
+        content = json.dumps([value for _, value in select_values(root, "body::text")], ensure_ascii=False)
+    else:
+        content = "".join(root.texts()) if kind == "text" else source
+    Path(path).write_text(content, encoding="utf-8")
