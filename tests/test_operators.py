@@ -229,6 +229,59 @@ def test_crawl_in_rounds(spark, tmp_path):
     assert got == wanted and result.stats["blocked"] == 4 and not result.paused
 
 
+def test_numbers_never_come_back(spark, tmp_path):
+    engine = crawl.CrawlEngine(spark, crawl.Spider("s", [], lambda p: (p, None)), lambda q: q, str(tmp_path / "x"))
+    urls = spark.range(400).selectExpr("concat('https://s.test/', id) url")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        first = engine._prepared(urls, 0).agg(F.max("enqueue_no")).first()[0]
+        assert first > 128 << 33
+        later = engine._prepared(urls, first + 1)
+        assert later.agg(F.min("enqueue_no")).first()[0] > first and later.select("request_id").distinct().count() == 400
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_cache_comes_before_the_fetch(spark, tmp_path):
+    asked = []
+
+    def fetch(q):
+        asked.append(sorted(r.url for r in q.collect()))
+        return q.select("request_id", "url", F.lit(200).alias("status"), F.lit(b"x").alias("body"))
+
+    cache = crawl.ResponseCache(spark, str(tmp_path / "cache"))
+    spider = crawl.Spider("s", ["https://s.test/1"], lambda p: (p.select("url").where("false"), None), robots_obey=False)
+    events = []
+    spider.on_start, spider.on_close = lambda r: events.append("start"), lambda r: events.append("close")
+    for run in (1, 2):
+        result = crawl.CrawlEngine(spark, spider, fetch, str(tmp_path / f"crawl{run}"), cache=cache).crawl()
+    assert [a for a in asked if a] == [["https://s.test/1"]] and result.stats["cached"] == 1 and events == ["start", "close"] * 2
+    engine = crawl.CrawlEngine(spark, spider, fetch, str(tmp_path / "crawl3"))
+    engine.request_pause()
+    engine.request_pause()
+    assert engine.crawl().stopped and engine.checkpoint.load() is None
+
+
+def test_storage_errors_are_no_misses(spark):
+    with pytest.raises(Exception):
+        crawl.ResponseCache(spark, "nonsense://x/y").get(spark.createDataFrame([("f",)], "fingerprint string"))
+
+
+def test_large_and_deep_pages():
+    import time
+
+    from weftline.functions import css, tree
+
+    wide, began = tree.parse("<div class=item></div>" * 40_000), time.process_time()
+    assert sum(1 for _ in nodes._rows(1, "u", wide, nodes.NODE_COLUMNS)) == 40_003
+    assert len(css.select(wide, "div + .item")) == 39_999 and len(css.select(wide, ".item ~ div")) == 39_999
+    assert time.process_time() - began < 20
+    deep = tree.parse("<div>" * 5_000 + "x")
+    assert tree.all_text(deep) == "x" and tree.outer_html(deep).count("<div>") == 5_000
+
+
 def test_statistics(spark):
     log = spark.createDataFrame([("INFO",), ("trace",), ("debug",)], "level string")
     assert {r.level: r.n for r in crawl.level_counts(log).collect()} == {"info": 1, "debug": 2}

@@ -40,13 +40,17 @@ class CssQuery:
 
 @dataclass(frozen=True)
 class Compound:
-    """Simple selectors on one element. ``attrs``: (name, operator, value); ``pseudos``: (name, argument)."""
+    """Simple selectors on one element. ``attrs``: (name, operator, value); ``pseudos``: (name, argument).
+
+    ``order`` has all of them but the tag as written: (kind, value), a position as its text.
+    """
 
     tag: str = "*"
     ids: tuple[str, ...] = ()
     classes: tuple[str, ...] = ()
     attrs: tuple[tuple[str, str, str], ...] = ()
     pseudos: tuple[tuple[str, object], ...] = ()
+    order: tuple[tuple[str, object], ...] = field(default=(), compare=False)
 
 
 @dataclass(frozen=True)
@@ -118,7 +122,7 @@ def _complex(source: str, at: int, stop: str = ",") -> tuple[Complex, int]:
 
 
 def _compound(source: str, at: int) -> tuple[Compound, int]:
-    tag, ids, classes, attrs, pseudos = "*", [], [], [], []
+    tag, ids, classes, attrs, pseudos, order = "*", [], [], [], [], []
     begun = at
     while at < len(source):
         part = PART.match(source, at)
@@ -130,12 +134,15 @@ def _compound(source: str, at: int) -> tuple[Compound, int]:
             tag = part["tag"].lower()
         elif part["id"]:
             ids.append(part["id"].replace("\\", ""))
+            order.append(("id", ids[-1]))
         elif part["cls"]:
             classes.append(part["cls"].replace("\\", ""))
+            order.append(("class", classes[-1]))
         elif part["attr"]:
             value = next((part[v] for v in ("v1", "v2", "v3") if part[v] is not None), "")
             op = part["op"] or ""
             attrs.append((part["attr"].lower(), op + ("i" if (part["flag"] or "").lower() == "i" else ""), value))
+            order.append(("attr", attrs[-1]))
         else:
             name, at = part["pseudo"], part.end()
             if part["paren"]:
@@ -148,19 +155,22 @@ def _compound(source: str, at: int) -> tuple[Compound, int]:
                 argument = source[start : at - 1]
                 if name in ("not", "is", "where", "has"):
                     pseudos.append((name, parse_selector(argument)))
+                    order.append(pseudos[-1])
                 elif name in ("nth-child", "nth-of-type", "nth-last-child", "nth-last-of-type"):
                     pseudos.append((name, nth(argument)))
+                    order.append((name, argument.strip()))
                 else:
                     raise SelectorError(f"unknown pseudo-class :{name}()")
             elif name in PLAIN_PSEUDOS:
                 pseudos.append((name, None))
+                order.append(pseudos[-1])
             else:
                 raise SelectorError(f"unknown pseudo-class :{name}")
             continue
         at = part.end()
     if at == begun:
         raise SelectorError(f"expected a selector at {source[at:]!r}")
-    return Compound(tag, tuple(ids), tuple(classes), tuple(attrs), tuple(pseudos)), at
+    return Compound(tag, tuple(ids), tuple(classes), tuple(attrs), tuple(pseudos), tuple(order)), at
 
 
 # --- matching --------------------------------------------------------------------
@@ -208,7 +218,7 @@ def compound_matches(node: Node, c: Compound) -> bool:
 
 
 def _pseudo(node: Node, name: str, argument) -> bool:
-    total = len(node.parent.elements()) if node.parent is not None else 1
+    total = node.parent.element_count() if node.parent is not None else 1
     match name:
         case "first-child":
             return node.index == 1
@@ -243,7 +253,10 @@ def _pseudo(node: Node, name: str, argument) -> bool:
     return False
 
 
-def complex_matches(node: Node, selector: Complex) -> bool:
+def complex_matches(node: Node, selector: Complex, firsts: dict[tuple[int, int], int] | None = None) -> bool:
+    """``firsts`` keeps, for one tree and one selector, what was found out about siblings."""
+    firsts = {} if firsts is None else firsts
+
     def left(n: Node, i: int) -> bool:
         """Whether ``n`` matches compound ``i`` and what stands before it."""
         if not compound_matches(n, selector.compounds[i]):
@@ -256,9 +269,15 @@ def complex_matches(node: Node, selector: Complex) -> bool:
             case " ":
                 return any(left(a, i - 1) for a in n.ancestors())
             case "+":
-                return n.parent is not None and n.index > 1 and left(n.parent.elements()[n.index - 2], i - 1)
+                return n.parent is not None and n.index > 1 and left(n.parent.element(n.index - 1), i - 1)
             case _:
-                return n.parent is not None and any(left(s, i - 1) for s in n.parent.elements()[: n.index - 1])
+                # the first sibling that matches is asked for once for each parent, not for each sibling after it
+                if n.parent is None or n.index < 2:
+                    return False
+                key = (id(n.parent), i)
+                if key not in firsts:
+                    firsts[key] = next((k for k in range(1, n.parent.element_count() + 1) if left(n.parent.element(k), i - 1)), 1 << 62)
+                return firsts[key] < n.index
 
     return left(node, len(selector.compounds) - 1)
 
@@ -269,7 +288,8 @@ def select(root: Node, css: str) -> list[Node]:
         alternatives = parse_selector(css)
     except SelectorError:
         return []
-    return [n for n in root.walk() if any(complex_matches(n, a) for a in alternatives)]
+    known: list[dict[tuple[int, int], int]] = [{} for _ in alternatives]
+    return [n for n in root.walk() if any(complex_matches(n, a, k) for a, k in zip(alternatives, known))]
 
 
 def select_values(root: Node, source: str) -> list[tuple[Node, str | None]]:
@@ -288,7 +308,8 @@ def select_values(root: Node, source: str) -> list[tuple[Node, str | None]]:
 
 # --- XPath -----------------------------------------------------------------------
 
-WORD = re.compile(r"[\w-]+", re.ASCII)
+#: Pseudo-classes that are a condition on the position.
+POSITIONS = {"first-child": "position()=1", "last-child": "position()=last()", "only-child": "last()=1", "empty": "not(*)"}
 
 
 @functools.lru_cache(256)
@@ -312,34 +333,33 @@ def _xpath(css: str) -> str:
 
 
 def _predicates(c: Compound) -> str:
-    out = "".join(f"[contains(concat(' ', normalize-space(@class), ' '), ' {x} ')]" for x in c.classes)
-    out += "".join(f"[@id='{x}']" for x in c.ids)
-    for name, op, raw in c.attrs:
-        value = raw.replace("'", "\\'")
-        out += {
-            "": f"[@{name}]",
-            "=": f"[@{name}='{value}']",
-            "~=": f"[contains(concat(' ', @{name}, ' '), ' {value} ')]",
-            "^=": f"[starts-with(@{name}, '{value}')]",
-            "$=": f"[substring(@{name}, string-length(@{name}) - {len(raw.encode())} + 1) = '{value}']",
-            "*=": f"[contains(@{name}, '{value}')]",
-            "|=": f"[@{name}='{value}' or starts-with(@{name}, '{value}-')]",
-        }[op.rstrip("i") if op else ""]
-    for name, argument in c.pseudos:
-        match name:
-            case "first-child":
-                out += "[position()=1]"
-            case "last-child":
-                out += "[position()=last()]"
-            case "nth-child" if argument[0] == 0:
-                out += f"[position()={argument[1]}]"
-            case "only-child":
-                out += "[last()=1]"
-            case "empty":
-                out += "[not(*)]"
-            case "not":
-                inner = argument[0].compounds[0]
-                out += f"[not(self::{inner.tag}{_predicates(inner)})]"
-            case _:
-                raise SelectorError(f":{name} has no translation")
-    return out
+    """The simple selectors as written, one predicate for each. A position is put down as its text."""
+    return "".join(f"[{_predicate(kind, value)}]" for kind, value in c.order)
+
+
+def _predicate(kind: str, value) -> str:
+    match kind:
+        case "class":
+            return f"contains(concat(' ', normalize-space(@class), ' '), ' {value} ')"
+        case "id":
+            return f"@id='{value}'"
+        case "attr":
+            name, op, raw = value
+            text = raw.replace("'", "\\'")
+            return {
+                "": f"@{name}",
+                "=": f"@{name}='{text}'",
+                "~=": f"contains(concat(' ', @{name}, ' '), ' {text} ')",
+                "^=": f"starts-with(@{name}, '{text}')",
+                "$=": f"substring(@{name}, string-length(@{name}) - {len(raw.encode())} + 1) = '{text}'",
+                "*=": f"contains(@{name}, '{text}')",
+                "|=": f"@{name}='{text}' or starts-with(@{name}, '{text}-')",
+            }[op.rstrip("i") if op else ""]
+        case "nth-child":
+            return f"position()={value}"
+        case "not":
+            inner = value[0].compounds[0]
+            return f"not(self::{inner.tag}{_predicates(inner)})"
+    if kind not in POSITIONS:
+        raise SelectorError(f":{kind} has no translation")
+    return POSITIONS[kind]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from http import HTTPStatus
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
@@ -140,22 +141,61 @@ def host_suffixes(name: ColumnLike) -> Column:
 
 
 META_CHARSET = re.compile(rb"""<meta[^>]+charset\s*=\s*["']?([^\s"';>]+)""", re.I)
+#: Labels that stand for another encoding in the web's table of labels than in Python's.
+WEB_LABELS = {
+    **dict.fromkeys("ascii us-ascii ansi_x3.4-1968 iso-ir-100 csisolatin1 latin1 l1 iso8859-1 iso88591 iso-8859-1 iso_8859-1 iso_8859-1:1987 cp819 ibm819 cp1252 x-cp1252 windows-1252".split(), "windows-1252"),
+    **dict.fromkeys("iso-8859-9 iso8859-9 iso88599 iso_8859-9 iso_8859-9:1989 iso-ir-148 latin5 l5 csisolatin5 cp1254 x-cp1254 windows-1254".split(), "cp1254"),
+    **dict.fromkeys("iso-8859-11 iso8859-11 iso885911 tis-620 dos-874 windows-874".split(), "cp874"),
+    **dict.fromkeys("gb2312 gb_2312 gb_2312-80 csgb2312 chinese iso-ir-58 x-gbk csiso58gb231280 gbk".split(), "gbk"),
+    **dict.fromkeys("shift_jis shift-jis sjis ms_kanji x-sjis csshiftjis windows-31j ms932".split(), "cp932"),
+    **dict.fromkeys("euc-kr ks_c_5601-1987 ks_c_5601-1989 ksc5601 ksc_5601 korean cseuckr windows-949 iso-ir-149".split(), "cp949"),
+    **dict.fromkeys("big5 big5-hkscs cn-big5 csbig5 x-x-big5".split(), "big5hkscs"),
+    **dict.fromkeys("utf8 utf-8 unicode-1-1-utf-8 unicode11utf8 unicode20utf8 x-unicode20utf8".split(), "utf-8"),
+    **dict.fromkeys("unicode ucs-2 iso-10646-ucs-2 csunicode unicodefeff utf-16 utf-16le".split(), "utf-16-le"),
+    **dict.fromkeys("unicodefffe utf-16be".split(), "utf-16-be"),
+    **dict.fromkeys("iso-8859-8-i csiso88598i logical".split(), "iso8859-8"),
+    **dict.fromkeys("dos-866 csibm866 866 cp866 ibm866".split(), "cp866"),
+    **dict.fromkeys("koi koi8 koi8_r cskoi8r koi8-r".split(), "koi8-r"),
+    **dict.fromkeys("koi8-ru koi8-u".split(), "koi8-u"),
+    **dict.fromkeys("macintosh csmacintosh mac x-mac-roman".split(), "mac-roman"),
+}
+#: Python names that no web label stands for: such a label is unknown.
+NOT_WEB = frozenset("utf-7 utf_7 utf7 idna punycode rot13 rot_13 base64 hex bz2 zip zlib uu quopri undefined unicode_escape raw_unicode_escape mbcs oem cp037 cp500 utf-32 utf_32 utf32".split())
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+
+
+def web_codec(label: str | None) -> str:
+    """The codec that a label means on the web; UTF-8 for unknown labels and null. ``iso-8859-1`` means windows-1252."""
+    name = (label or "utf-8").strip(" \t\r\n\f").lower()
+    if name in WEB_LABELS:
+        return WEB_LABELS[name]
+    try:
+        return "utf-8" if name in NOT_WEB else codecs.lookup(name).name
+    except (LookupError, ValueError):
+        return "utf-8"
+
+
+def _c1(error: UnicodeError) -> tuple[str, int]:
+    """Bytes that a single-byte code page leaves undefined are read as C1 controls."""
+    part = error.object[error.start : error.end]
+    return "".join(chr(b) if 0x80 <= b < 0xA0 else "\ufffd" for b in part), error.end
+
+
+codecs.register_error("weftline-c1", _c1)
 
 
 def decode_bytes(body: bytes | None, encoding: str | None = None) -> str | None:
-    """A page's bytes as text: by the given label, a byte order mark, or the meta charset; UTF-8 for unknown labels."""
+    """A page's bytes as text. A byte order mark decides, else the given label or the meta charset; UTF-8 for unknown labels."""
     if body is None:
         return None
+    for mark, codec in MARKS:
+        if body.startswith(mark):
+            return body[len(mark) :].decode(codec, "replace")
     if encoding is None:
-        for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
-            if body.startswith(mark):
-                return body.decode(name, "replace")
         found = META_CHARSET.search(body)
         encoding = found[1].decode("latin-1") if found else "utf-8"
-    try:
-        return body.decode(encoding, "replace")
-    except LookupError:
-        return body.decode("utf-8", "replace")
+    codec = web_codec(encoding)
+    return body.decode(codec, "weftline-c1" if codec in ("windows-1252", "cp1254", "cp874") else "replace")
 
 
 def decode_html(body: ColumnLike, encoding: ColumnLike | None = None) -> Column:

@@ -308,54 +308,85 @@ def shell_split(command: str) -> list[str]:
     return words + [word] * bool(word)
 
 
+def _put_method(out: dict, value: str) -> None:
+    out["method"], out["explicit"] = value.upper(), True
+
+
+def _put_cookies(out: dict, value: str) -> None:
+    for part in value.split(";"):
+        name, _, content = part.strip().partition("=")
+        if name:
+            out["cookies"][name.strip()] = content.strip()
+
+
+def _put_header(out: dict, value: str) -> None:
+    name, colon, content = value.partition(":")
+    if colon and name.strip().lower() == "cookie":
+        _put_cookies(out, content)
+    elif colon:
+        out["headers"][name.strip()] = content.strip()
+
+
+def _parsed_json(value: str) -> object:
+    try:
+        return json.loads(value, parse_constant=lambda name: (_ for _ in ()).throw(ValueError(name)))
+    except (ValueError, RecursionError) as e:
+        raise CommandError("not JSON") from e
+
+
+def _put_json(out: dict, value: str) -> None:
+    out["json_data"] = json.dumps(_parsed_json(value), separators=(",", ":"), ensure_ascii=False)
+    out["headers"].setdefault("Content-Type", "application/json")
+    out["method"] = out["method"] if out["explicit"] else "POST"
+
+
+def _put_data(out: dict, value: str) -> None:
+    try:
+        parsed = _parsed_json(value)
+    except CommandError:
+        parsed = None
+    if isinstance(parsed, dict | list):
+        out["json_data"] = json.dumps(parsed, separators=(",", ":"), ensure_ascii=False)
+    else:
+        out["data"] = value
+    out["method"] = out["method"] if out["explicit"] else "POST"
+
+
+def _put_proxy(out: dict, value: str) -> None:
+    out["proxy"] = value
+
+
+#: The options with a value, and what each does.
+CURL_OPTIONS = {
+    **dict.fromkeys(("-X", "--request"), _put_method), **dict.fromkeys(("-H", "--header"), _put_header), **dict.fromkeys(("-b", "--cookie"), _put_cookies),
+    **dict.fromkeys(("-d", "--data", "--data-raw", "--data-binary", "--data-urlencode"), _put_data), "--json": _put_json, **dict.fromkeys(("-x", "--proxy"), _put_proxy),
+}
+WEB = ("http://", "https://")
+
+
 def parse_curl_command(command: str) -> dict:
-    """One curl command as a dictionary of the fields of ``CURL``. Raises ``CommandError``."""
+    """One curl command as a dictionary of the fields of ``CURL``. Raises ``CommandError``.
+
+    The last word that is a web address is the url, else the first word that is no option.
+    An option without its value, ``--json`` of no JSON and a command without url are errors.
+    """
+    out = {"method": "GET", "url": "", "headers": {}, "cookies": {}, "data": None, "json_data": None, "proxy": None, "follow_redirects": False, "explicit": False}
     words = shell_split(command)
-    out = {"method": "GET", "url": "", "headers": {}, "cookies": {}, "data": None, "json_data": None, "proxy": None, "follow_redirects": False}
-    if words and words[0].startswith(("http://", "https://")):
-        out["url"] = words[0]
-    rest = iter(words[1:])
-    implied = False
-
-    def cookies(text: str) -> None:
-        for part in text.split(";"):
-            name, _, value = part.strip().partition("=")
-            if name:
-                out["cookies"][name.strip()] = value.strip()
-
-    for w in rest:
-        if w in ("-X", "--request"):
-            out["method"], implied = next(rest, "GET").upper(), True
-        elif w in ("-H", "--header"):
-            name, colon, value = next(rest, "").partition(":")
-            if colon and name.strip().lower() == "cookie":
-                cookies(value)
-            elif colon:
-                out["headers"][name.strip()] = value.strip()
-        elif w in ("-b", "--cookie"):
-            cookies(next(rest, ""))
-        elif w in ("-d", "--data", "--data-raw", "--data-binary", "--data-urlencode", "--data-ascii", "--json"):
-            value = next(rest, "")
-            try:
-                parsed = json.loads(value)
-            except ValueError:
-                parsed = None
-            if w == "--json" or isinstance(parsed, dict | list):
-                out["json_data"] = json.dumps(parsed, separators=(",", ":"), ensure_ascii=False) if parsed is not None else value
-            else:
-                out["data"] = value
-            if w == "--json":
-                out["headers"].setdefault("Content-Type", "application/json")
-            if not implied:
-                out["method"] = "POST"
-        elif w in ("-x", "--proxy"):
-            out["proxy"] = next(rest, None)
-        elif w in ("-L", "--location"):
+    todo = words if words[:1] and words[0].startswith(WEB) else words[1:]
+    while todo:
+        word, todo = todo[0], todo[1:]
+        if word in CURL_OPTIONS:
+            if not todo:
+                raise CommandError(f"{word} needs a value")
+            CURL_OPTIONS[word](out, todo[0])
+            todo = todo[1:]
+        elif word in ("-L", "--location"):
             out["follow_redirects"] = True
-        elif not w.startswith("-") and not out["url"]:
-            out["url"] = w
+        elif word.startswith(WEB) or not word.startswith("-") and not out["url"]:
+            out["url"] = word
     if not out["url"]:
         raise CommandError("no url")
+    del out["explicit"]
     return out
 
 

@@ -38,11 +38,12 @@ class Comment(str):
 class Node:
     """An element. ``children`` holds elements, text (``str``) and comments in order."""
 
-    __slots__ = ("tag", "attrs", "children", "parent", "id", "end", "depth", "index", "type_index", "type_count")
+    __slots__ = ("tag", "attrs", "children", "parent", "id", "end", "depth", "index", "type_index", "type_count", "kids")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], None
         self.id = self.end = self.depth = self.index = self.type_index = self.type_count = 0
+        self.kids: list[Node] = []  # the child elements, once the tree is numbered
 
     def append(self, child: Node | str) -> None:
         if isinstance(child, Node):
@@ -72,6 +73,13 @@ class Node:
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
+    def element_count(self) -> int:
+        return len(self.kids)
+
+    def element(self, index: int) -> Node:
+        """The child element of this index, from 1."""
+        return self.kids[index - 1]
+
     def texts(self) -> list[str]:
         return [c for c in self.children if type(c) is str]
 
@@ -488,9 +496,12 @@ def parse(source: str | None, fragment: bool = False) -> Node:
     source = source or ""
     builder = Builder(fragment)
     at, size = 0, len(source)
+    next_loose = LOOSE.search(source)
     while at < size:
         token = TOKEN.search(source, at)
-        loose = LOOSE.search(source, at)
+        if next_loose is not None and next_loose.start() < at:
+            next_loose = LOOSE.search(source, at)
+        loose = next_loose
         if loose is not None and (token is None or loose.start() < token.start()):
             token, groups = loose, (None, None, None, loose[1], loose[2], loose[3])  # an unbalanced quote in a tag
         elif token is None:
@@ -546,7 +557,7 @@ def number(root: Node) -> Node:
         node.id = count
         node.depth = node.parent.depth + 1 if node.parent is not None else 0
         todo.append((node, True))
-        kids = node.elements()
+        kids = node.kids = node.elements()
         seen: dict[str, int] = {}
         for i, kid in enumerate(kids, 1):
             kid.index, kid.type_index = i, seen.get(kid.tag, 0) + 1
@@ -564,29 +575,43 @@ def escape(value: str) -> str:
 
 def outer_html(node: Node) -> str:
     """The element with its tags. Text is not escaped again; void elements have no end tag."""
-    attrs = "".join(f' {k}="{escape(v)}"' for k, v in node.attrs.items())
-    if node.tag in VOID:
-        return f"<{node.tag}{attrs}>"
-    return f"<{node.tag}{attrs}>{inner_html(node)}</{node.tag}>"
+    return _markup([node])
 
 
 def inner_html(node: Node) -> str:
-    return "".join(outer_html(c) if isinstance(c, Node) else f"<!--{c}-->" if isinstance(c, Comment) else c for c in node.children)
+    return _markup(node.children)
+
+
+def _markup(parts: list) -> str:
+    """Markup of elements, comments and text, however deep they lie."""
+    out: list[str] = []
+    todo: list = [(p, False) for p in reversed(parts)]
+    while todo:
+        part, end = todo.pop()
+        if end:
+            out.append(part)
+        elif isinstance(part, Node):
+            attrs = "".join(f' {k}="{escape(v)}"' for k, v in part.attrs.items())
+            out.append(f"<{part.tag}{attrs}>")
+            if part.tag not in VOID:
+                todo.append((f"</{part.tag}>", True))
+                todo += [(c, False) for c in reversed(part.children)]
+        else:
+            out.append(f"<!--{part}-->" if isinstance(part, Comment) else part)
+    return "".join(out)
 
 
 def all_text(node: Node, separator: str = "", strip: bool = False, ignore: tuple[str, ...] = (), keep_blank: bool = True) -> str:
     """The text of the subtree in document order. ``ignore`` prunes subtrees, not the element itself."""
     out: list[str] = []
-
-    def visit(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, Node):
-                if c.tag not in ignore:
-                    visit(c)
-            elif not isinstance(c, Comment):
-                text = c.strip() if strip else c
-                if keep_blank or text.strip():
-                    out.append(text)
-
-    visit(node)
+    todo: list = list(reversed(node.children))
+    while todo:
+        part = todo.pop()
+        if isinstance(part, Node):
+            if part.tag not in ignore:
+                todo += reversed(part.children)
+        elif not isinstance(part, Comment):
+            text = part.strip() if strip else part
+            if keep_blank or text.strip():
+                out.append(text)
     return separator.join(out)

@@ -30,51 +30,104 @@ def _clean(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
 
 
-def _rows(page_id, url, source, fragment: bool) -> Iterator[tuple]:
-    root = tree.parse(source, fragment)
+def _blank(node: tree.Node) -> bool:
+    return not any(isinstance(c, tree.Node) or type(c) is str and c for c in node.children)
+
+
+#: How each column follows from a node; ``path`` and ``anc_ids`` follow from the parent's.
+VALUES = {
+    "node_id": lambda n: n.id,
+    "end_id": lambda n: n.end,
+    "parent_id": lambda n: n.parent.id if n.parent is not None else None,
+    "depth": lambda n: n.depth,
+    "tag": lambda n: n.tag,
+    "attrs": lambda n: {_clean(k): _clean(v) for k, v in n.attrs.items()},
+    "attr_names": lambda n: [_clean(k) for k in n.attrs],
+    "classes": lambda n: [_clean(c) for c in n.classes()],
+    "own_text": lambda n: _clean("".join(n.texts())),
+    "text_chunks": lambda n: [_clean(t) for t in n.texts()],
+    "elem_idx": lambda n: n.index,
+    "elem_cnt": lambda n: n.parent.element_count() if n.parent is not None else 1,
+    "type_idx": lambda n: n.type_index,
+    "type_cnt": lambda n: n.type_count,
+    "blank": _blank,
+}
+
+
+def _rows(page_id, url, root: tree.Node, columns: list[str]) -> Iterator[tuple]:
+    inherited = "path" in columns or "anc_ids" in columns
+    above: dict[int, tuple[list[str], list[int]]] = {}
     for node in (root, *root.walk()):
-        parents = list(node.ancestors())
-        chunks = [_clean(t) for t in node.texts()]
-        blank = not any(isinstance(c, tree.Node) or type(c) is str and c for c in node.children)
-        yield (
-            page_id, url, node.id, node.end, node.parent.id if node.parent is not None else None, node.depth, node.tag, {_clean(k): _clean(v) for k, v in node.attrs.items()},
-            [_clean(k) for k in node.attrs], [_clean(c) for c in node.classes()], "".join(chunks), chunks, node.index, len(node.parent.elements()) if node.parent is not None else 1,
-            node.type_index, node.type_count, [p.tag for p in reversed(parents)] + [node.tag], [p.id for p in parents], blank,
-        )
+        if inherited:
+            tags, ids = above[node.parent.id] if node.parent is not None else ([], [])
+            above[node.id] = tags + [node.tag], [node.id] + ids
+            more = {"page_id": page_id, "url": url, "path": above[node.id][0], "anc_ids": ids}
+        else:
+            more = {"page_id": page_id, "url": url}
+        yield tuple(more[c] if c in more else VALUES[c](node) for c in columns)
 
 
-def nodes(pages: DataFrame, fragment: bool = False) -> DataFrame:
+def nodes(pages: DataFrame, fragment: bool = False, columns: list[str] | None = None) -> DataFrame:
     """Parse ``page_id, url, html`` into the node table. Null and empty pages have html, head and body.
 
     With ``fragment`` the markup is a part of a page: its elements lie right below the root.
+    ``columns`` are the columns wanted, all by default: others are neither made nor moved.
     """
+    schema = {c.split()[0]: c for c in NODE_SCHEMA.split(", ")}
+    wanted = [c for c in NODE_COLUMNS if columns is None or c in columns]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start in range(0, len(pdf), 32):  # pages can be large: small output batches
-                part = pdf.iloc[start : start + 32]
-                rows = [r for p in zip(part["page_id"], part["url"], part["html"]) for r in _rows(*p, fragment)]
-                yield pd.DataFrame(rows, columns=NODE_COLUMNS).astype({"parent_id": "Int32"})
+            urls = pdf["url"] if "url" in pdf else [None] * len(pdf)
+            rows: list[tuple] = []
+            for page_id, url, source in zip(pdf["page_id"], urls, pdf["html"]):
+                rows += _rows(page_id, url, tree.parse(source, fragment), wanted)
+                if len(rows) >= 20_000:  # pages can be large: small output batches
+                    yield _frame(rows, wanted)
+                    rows = []
+            yield _frame(rows, wanted)
 
-    return pages.select("page_id", "url", "html").mapInPandas(scan, NODE_SCHEMA)
+    read = ["page_id", "html", *(["url"] if "url" in wanted else [])]
+    return pages.select(*read).mapInPandas(scan, ", ".join(schema[c] for c in wanted))
 
 
-def select(pages: DataFrame, selector: str) -> DataFrame:
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    found = pd.DataFrame(rows, columns=columns)
+    return found.astype({"parent_id": "Int32"}) if "parent_id" in columns else found
+
+
+def select(pages: DataFrame, selector: str, *carried: str) -> DataFrame:
     """Matches of a selector as ``page_id, ord, node_id, tag, value, outer_html``, in document order.
 
     ``value`` is the text for ``::text``, the attribute for ``::attr(..)``, else null;
     ``outer_html`` is null where ``value`` isn't. An invalid selector matches nothing.
+    ``carried`` are further columns of ``pages`` to keep beside each match.
     """
+    return _matches(pages, selector, carried, "ord int, node_id int, tag string, value string, outer_html string", lambda i, n, v: (i, n.id, n.tag, v if v is None else _clean(v), _clean(tree.outer_html(n)) if v is None else None))
+
+
+def select_rendered(pages: DataFrame, selector: str, separator: str = " ", strip: bool = True, ignore: tuple[str, ...] = ("script", "style")) -> DataFrame:
+    """``page_id, node_id, outer_html, inner_html, all_text`` of the matches of a selector, in the pass that finds them."""
+    return _matches(
+        pages, selector, (), "node_id int, outer_html string, inner_html string, all_text string",
+        lambda i, n, v: (n.id, _clean(tree.outer_html(n)), _clean(tree.inner_html(n)), _clean(tree.all_text(n, separator, strip, ignore, keep_blank=False))),
+    )
+
+
+def _matches(pages: DataFrame, selector: str, carried: tuple[str, ...], schema: str, row) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = dict(pages.dtypes)
+    kept = ["page_id", *carried]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for page_id, source in zip(pdf["page_id"], pdf["html"]):
+            for source, *own in zip(pdf["html"], *[pdf[c] for c in kept]):
                 for i, (node, value) in enumerate(select_values(tree.parse(source), selector)):
-                    rows.append((page_id, i, node.id, node.tag, value if value is None else _clean(value), _clean(tree.outer_html(node)) if value is None else None))
-            yield pd.DataFrame(rows, columns=["page_id", "ord", "node_id", "tag", "value", "outer_html"])
+                    rows.append((*own, *row(i, node, value)))
+            yield pd.DataFrame(rows, columns=[*kept, *names])
 
-    return pages.select("page_id", "html").mapInPandas(scan, "page_id long, ord int, node_id int, tag string, value string, outer_html string")
+    return pages.select(*kept, "html").mapInPandas(scan, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", " + schema)
 
 
 def render(pages: DataFrame, chosen: DataFrame, separator: str = " ", strip: bool = True, ignore: tuple[str, ...] = ("script", "style")) -> DataFrame:
@@ -168,19 +221,45 @@ def _pseudo(name: str, argument) -> Column:
             return _nth(*argument, F.col("type_idx"))
         case "nth-last-of-type":
             return _nth(*argument, F.col("type_cnt") - F.col("type_idx") + 1)
-        case "not" | "is" | "where" if all(len(a.compounds) == 1 for a in argument):
+        case "not" | "is" | "where" if _one_row(argument):
             any_ = F.lit(False)
             for a in argument:
                 any_ |= predicate(a.compounds[0])
             return ~any_ if name == "not" else any_
-    raise SelectorError(f":{name} needs select()")
+    return F.lit(True)  # asked by a join, see _narrowed
+
+
+def _one_row(alternatives: tuple[Complex, ...]) -> bool:
+    """Whether the alternatives are conditions on one node row, without other nodes."""
+    return all(len(a.compounds) == 1 and not _joined(a.compounds[0]) for a in alternatives)
+
+
+def _joined(c: Compound) -> list[tuple[str, tuple[Complex, ...]]]:
+    """The pseudo-classes of a compound that ask for other nodes."""
+    return [(name, argument) for name, argument in c.pseudos if name == "has" or name in ("not", "is", "where") and not _one_row(argument)]
+
+
+def _matching(table: DataFrame, c: Compound) -> DataFrame:
+    """Node rows that match a compound: by a condition on the row, then a semi-join or anti-join for each pseudo-class that asks for other nodes."""
+    found = table.where(predicate(c))
+    for name, alternatives in _joined(c):
+        keys = None
+        for a in alternatives:
+            one = _complex(table, a)
+            keys = one if keys is None else keys.unionByName(one)
+        if name == "has":
+            below = keys.select(F.col("page_id").alias("_p"), F.col("node_id").alias("_n"))
+            found = found.join(below, (F.col("page_id") == F.col("_p")) & (F.col("_n") > F.col("node_id")) & (F.col("_n") <= F.col("end_id")), "left_semi")
+        else:
+            found = found.join(keys.select("page_id", "node_id"), ["page_id", "node_id"], "left_anti" if name == "not" else "left_semi")
+    return found
 
 
 def _complex(table: DataFrame, selector: Complex) -> DataFrame:
     """Node rows that match; each combinator is a semi-join of the matches so far."""
-    found = table.where(predicate(selector.compounds[0]))
+    found = _matching(table, selector.compounds[0])
     for combinator, compound in zip(selector.combinators, selector.compounds[1:]):
-        here = table.where(predicate(compound))
+        here = _matching(table, compound)
         left = found.select(F.col("page_id").alias("_p"), F.col("node_id").alias("_n"), F.col("end_id").alias("_e"), F.col("parent_id").alias("_u"), F.col("elem_idx").alias("_i"))
         same = F.col("page_id") == F.col("_p")
         condition = {
@@ -203,7 +282,7 @@ def css(table: DataFrame, selector: str) -> DataFrame:
     except SelectorError:
         return table.where(F.lit(False))
     inner = table.where(F.col("parent_id").isNotNull())
-    if all(len(a.compounds) == 1 for a in alternatives):
+    if _one_row(alternatives):
         any_ = F.lit(False)
         for a in alternatives:
             any_ |= predicate(a.compounds[0])

@@ -8,7 +8,7 @@ built-in expression; candidates come from equi-joins.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from weftline.functions.http import store_scope
 
@@ -134,6 +134,10 @@ def fingerprints(table: DataFrame) -> DataFrame:
     return both.select("page_id", "url", "node_id", fp.alias("fp"))
 
 
+#: Up to so many stored fingerprints, of some kilobytes each, are broadcast.
+BROADCAST_ROWS = 10_000
+
+
 def relocate(found: DataFrame, originals: DataFrame, least: float = 0.0) -> DataFrame:
     """``page_id, identifier, node_id, score``: the nodes of each page most like a stored fingerprint.
 
@@ -141,7 +145,10 @@ def relocate(found: DataFrame, originals: DataFrame, least: float = 0.0) -> Data
     site only. All ties at the highest score stay, if it reaches ``least`` and is over 0.
     """
     scoped = found.withColumn("base_url", store_scope("url"))
-    scored = scoped.join(originals.select("base_url", "identifier", F.col("fp").alias("_o")), "base_url").select(
+    known = originals.select("base_url", "identifier", F.col("fp").alias("_o"))
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)  # a site with a tenth of all nodes is not brought together
+    scored = scoped.join(known, "base_url").select(
         "page_id", "identifier", "node_id", similarity_score(F.col("_o"), F.col("fp")).alias("score")
     )
     best = F.max("score").over(Window.partitionBy("page_id", "identifier"))
@@ -149,25 +156,70 @@ def relocate(found: DataFrame, originals: DataFrame, least: float = 0.0) -> Data
 
 
 def save(store: DataFrame, new: DataFrame, at: str = "saved_at") -> DataFrame:
-    """Upsert of ``base_url, identifier, fp, saved_at``: the last write for each key stays."""
+    """Upsert of ``base_url, identifier, fp, saved_at``: the last write for each key stays; of writes at the same time that of the greatest text."""
     both = store.unionByName(new)
-    return both.groupBy("base_url", "identifier").agg(F.max_by("fp", at).alias("fp"), F.max(at).alias(at))
+    return both.groupBy("base_url", "identifier").agg(F.max_by("fp", F.struct(F.col(at), F.to_json(F.struct("fp")))).alias("fp"), F.max(at).alias(at))
 
 
 def retrieve(store: DataFrame, base_url: str, identifier: str) -> DataFrame:
     return store.where((F.col("base_url") == base_url) & (F.col("identifier") == identifier))
 
 
-def css_adaptive(table: DataFrame, selector: str, store: DataFrame, identifier: str, least: float = 0.0) -> DataFrame:
-    """``page_id, node_id, score``: matches of the selector, and on pages without one the relocated nodes."""
+class FingerprintStore:
+    """The fingerprint store as a table that stays: each write appends, a read takes the last write for each key."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def save(self, new: DataFrame) -> None:
+        """Adds ``base_url, identifier, fp``."""
+        new.select("base_url", "identifier", "fp", F.current_timestamp().alias("saved_at")).write.mode("append").parquet(self.path)
+
+    def load(self) -> DataFrame | None:
+        """``base_url, identifier, fp, saved_at``; null before the first write."""
+        from weftline.operators.crawl import path_exists
+
+        if not path_exists(self.spark, self.path):
+            return None
+        table = self.spark.read.parquet(self.path)
+        return save(table.where(F.lit(False)), table)
+
+
+def css_adaptive(table: DataFrame, selector: str, store: DataFrame | None, identifier: str | None = None, least: float = 0.0, adaptive: bool = True) -> DataFrame:
+    """``page_id, node_id, score``: matches of the selector, and on pages without one the relocated nodes.
+
+    The identifier is the selector itself by default. Without ``adaptive``, or without a
+    store, such pages have none.
+    """
     from weftline.operators.nodes import css
 
     hits = css(table, selector).select("page_id", "node_id", F.lit(None).cast("double").alias("score"))
+    if not adaptive or store is None:
+        return hits
     missing = table.join(hits.select("page_id").distinct(), "page_id", "left_anti")
-    moved = relocate(fingerprints(missing), store.where(F.col("identifier") == identifier), least)
+    moved = relocate(fingerprints(missing), store.where(F.col("identifier") == (identifier or selector)), least)
     return hits.unionByName(moved.select("page_id", "node_id", "score"))
 
 
+def to_save(table: DataFrame, found: DataFrame, identifier: str) -> DataFrame:
+    """``base_url, identifier, fp`` of the first found node of each site's last page that has one.
+
+    Saving page by page, in the order of ``page_id``, would leave the same in the store.
+    """
+    firsts = found.groupBy("page_id").agg(F.min("node_id").alias("node_id"))
+    prints = fingerprints(table).join(firsts, ["page_id", "node_id"]).withColumn("base_url", store_scope("url"))
+    return prints.groupBy("base_url").agg(F.max_by("fp", "page_id").alias("fp")).select("base_url", F.lit(identifier).alias("identifier"), "fp")
+
+
+def css_adaptive_saved(table: DataFrame, selector: str, store: FingerprintStore, identifier: str | None = None, least: float = 0.0, adaptive: bool = True) -> DataFrame:
+    """``css_adaptive`` that also saves the first node of each page, whether it was matched or relocated."""
+    from weftline.session import materialise
+
+    found = materialise(css_adaptive(table, selector, store.load(), identifier, least, adaptive), "adaptive")
+    store.save(to_save(table, found, identifier or selector))
+    return found
+
+
 def attribute_similarity(left: dict, right: dict, ignored: tuple[str, ...] = ("href", "src"), texts: tuple[str, str] | None = None) -> float:
     """Mean over the union of names: 1 for equal values, Jaro-Winkler for others, 0 for a missing one."""
     a = {k: v for k, v in left.items() if k not in ignored}

@@ -38,13 +38,19 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove all that this application wrote with ``materialise``; lazy results that read it can't be read any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table of few files over all cores, before work that is heavy for each row.
+    """Deal the rows of a small table over all cores, before work that is heavy for each row.
 
-    Large tables come in more splits than there are cores and stay as they are: no shuffle.
+    Tables that are read in at least as many splits as there are cores stay as they are: no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df._jdf.inputFiles()) >= cores else df.repartition(cores)
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
