@@ -6,6 +6,7 @@ by the declared encoding. Every query runs over its whole tables.
 
 from __future__ import annotations
 
+import uuid
 from http import HTTPStatus
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weftline.functions import convert, http, text
 from weftline.functions.css import css_to_xpath
 from weftline.operators import crawl, nodes, similarity
-from weftline.session import materialise, spread, table
+from weftline.session import materialise, shared_dir, spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,8 +38,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("response_id").alias("page_id"), "url", http.decode_html("body", F.coalesce("encoding", F.lit("utf-8"))).alias("html"))
 
 
-def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.nodes(pages(spark, sf_dir))
+def node_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The node table of all pages, with ``page_id``, ``node_id`` and the columns asked for."""
+    return nodes.nodes(pages(spark, sf_dir), columns=["page_id", "node_id", *columns])
 
 
 SQL_MEDIA = "lower(trim(split_part(list_filter(map_entries(headers), lambda e: lower(e.key) = 'content-type')[1].value, ';', 1)))"
@@ -57,7 +59,7 @@ SQL_REQUESTS = f"(select *, lower(coalesce(fingerprint, {SQL_FINGERPRINT})) as f
 @query()
 def page_overview(spark, sf_dir):
     """Title, links and nodes of each page, in one pass over the node table."""
-    n = node_table(spark, sf_dir)
+    n = node_table(spark, sf_dir, "tag", "own_text", "attrs")
     return n.groupBy("page_id").agg(
         F.max(F.when(F.col("tag") == "title", F.col("own_text"))).alias("title"), F.count_if((F.col("tag") == "a") & F.map_contains_key("attrs", "href")).alias("links"), F.count("*").alias("nodes")
     )
@@ -68,7 +70,7 @@ def page_overview(spark, sf_dir):
     where {SQL_MEDIA} = 'text/html' and regexp_matches(body::varchar, '<html lang=\\x22')"""
 )
 def page_lang(spark, sf_dir):
-    n = node_table(spark, sf_dir).where(F.col("parent_id").isNull())
+    n = node_table(spark, sf_dir, "parent_id", "attrs").where(F.col("parent_id").isNull())
     return n.select("page_id", text.attr_get("attrs", "lang").alias("lang")).where(F.col("lang").isNotNull())
 
 
@@ -82,13 +84,13 @@ def link_targets(spark, sf_dir):
 
 @query()
 def tag_histogram(spark, sf_dir):
-    return node_table(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
+    return node_table(spark, sf_dir, "tag").groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
 @query()
 def css_combinators(spark, sf_dir):
     """One selector of each kind over one node table, by joins; counts by selector."""
-    n = materialise(node_table(spark, sf_dir).drop("url", "text_chunks", "attr_names", "own_text", "path", "anc_ids"), "nodes")
+    n = materialise(node_table(spark, sf_dir, "end_id", "parent_id", "tag", "attrs", "classes", "elem_idx", "elem_cnt", "type_idx", "type_cnt", "blank"), "nodes")
     out = None
     for s in ("body > div", "main h1", "h1 + p", "h1 ~ p", "li:not(:first-child) > a[href^='/p/']", "ul > li:nth-child(2n+1)", "p:only-child, td:last-child", "*:empty"):
         one = nodes.css(n, s).agg(F.count("*").alias("n")).select(F.lit(s).alias("selector"), "n")
@@ -98,19 +100,19 @@ def css_combinators(spark, sf_dir):
 
 @query()
 def css_text(spark, sf_dir):
-    return nodes.select(pages(spark, sf_dir), "h1::text, h2::text".replace("h1::text, ", "h1, ")).select("page_id", "ord", "value")
+    return nodes.select(pages(spark, sf_dir), "h1, h2::text").select("page_id", "ord", "value")
 
 
 @query()
 def neighbours(spark, sf_dir):
-    n = nodes.with_neighbours(node_table(spark, sf_dir)).where(F.col("tag") == "li")
+    n = nodes.with_neighbours(node_table(spark, sf_dir, "parent_id", "tag")).where(F.col("tag") == "li")
     return n.select("page_id", "node_id", "previous_id", "next_id")
 
 
 @query()
 def navigation_counts(spark, sf_dir):
     """Parents, children, siblings, ancestors and descendants of each list, counted."""
-    n = materialise(node_table(spark, sf_dir).select("page_id", "node_id", "end_id", "parent_id", "tag", "anc_ids", "elem_idx", "depth"), "nodes")
+    n = materialise(node_table(spark, sf_dir, "end_id", "parent_id", "tag", "anc_ids"), "nodes")
     lists = n.where(F.col("tag").isin("ul", "ol"))
     parts = {
         "parents": nodes.parents(n, lists), "children": nodes.children(n, lists), "siblings": nodes.siblings(n, lists),
@@ -125,50 +127,48 @@ def navigation_counts(spark, sf_dir):
 
 @query()
 def nearest_container(spark, sf_dir):
-    n = materialise(node_table(spark, sf_dir).select("page_id", "node_id", "tag", "anc_ids"), "nodes")
+    n = materialise(node_table(spark, sf_dir, "tag", "anc_ids"), "nodes")
     return nodes.nearest_ancestor(n, n.where(F.col("tag") == "a"), F.col("tag").isin("div", "section", "nav", "table"))
 
 
 @query()
 def find_texts(spark, sf_dir):
-    n = node_table(spark, sf_dir)
+    n = node_table(spark, sf_dir, "parent_id", "tag", "own_text")
     return nodes.find_by_text(n, "privacy", partial=True, case_sensitive=False, clean_match=True).select("page_id", "node_id", "tag", "own_text")
 
 
 @query()
 def find_patterns(spark, sf_dir):
-    return nodes.find_by_regex(node_table(spark, sf_dir), r"\d+ (?:cm|kg|g|pcs)$").select("page_id", "node_id", "tag", "own_text")
+    return nodes.find_by_regex(node_table(spark, sf_dir, "parent_id", "tag", "own_text"), r"\d+ (?:cm|kg|g|pcs)$").select("page_id", "node_id", "tag", "own_text")
 
 
 @query()
 def find_all_links(spark, sf_dir):
-    found = nodes.find_all(node_table(spark, sf_dir), tags=("a", "button"), attrs={"href": "/0"}, patterns=(r"\w",))
+    found = nodes.find_all(node_table(spark, sf_dir, "parent_id", "tag", "attrs", "own_text"), tags=("a", "button"), attrs={"href": "/0"}, patterns=(r"\w",))
     return nodes.first(found).select("page_id", "node_id", "own_text")
 
 
 @query()
 def rendered_headings(spark, sf_dir):
-    p = pages(spark, sf_dir)
-    chosen = nodes.select(p, "h1, h2").select("page_id", "node_id")
-    return nodes.render(p, chosen)
+    return nodes.select_rendered(pages(spark, sf_dir), "h1, h2")
 
 
 @query()
 def generated_selectors(spark, sf_dir):
-    n = materialise(node_table(spark, sf_dir).select("page_id", "node_id", "tag", "attrs", "type_idx", "type_cnt", "anc_ids"), "nodes")
+    n = materialise(node_table(spark, sf_dir, "tag", "attrs", "type_idx", "type_cnt", "anc_ids"), "nodes")
     return nodes.generated_selectors(n, n.where(F.col("tag") == "h1"))
 
 
 @query()
 def similar_cells(spark, sf_dir):
-    n = materialise(node_table(spark, sf_dir).select("page_id", "node_id", "tag", "depth", "path", "attrs", "own_text", "parent_id"), "nodes")
+    n = materialise(node_table(spark, sf_dir, "tag", "depth", "path", "attrs", "own_text"), "nodes")
     return similarity.find_similar(n, nodes.first(n.where(F.col("tag") == "li"))).groupBy("page_id", "of_id").agg(F.count("*").alias("n"))
 
 
 @query()
 def relocated_headings(spark, sf_dir):
     """Each site's heading is stored from its first page and found again on all of its pages."""
-    n = materialise(node_table(spark, sf_dir).where(~F.col("tag").isin("head", "meta", "title", "style", "script")), "nodes")
+    n = materialise(node_table(spark, sf_dir, "url", "parent_id", "tag", "attrs", "own_text", "path", "elem_idx"), "nodes")
     prints = materialise(similarity.fingerprints(n), "fingerprints")
     heads = prints.where(F.col("fp.tag") == "h1").withColumn("base_url", http.store_scope("url"))
     store = heads.groupBy("base_url").agg(F.min_by("fp", F.struct("page_id", "node_id")).alias("fp")).withColumn("identifier", F.lit("heading"))
@@ -188,9 +188,8 @@ def pages_to_markdown(spark, sf_dir):
 @query()
 def joined_links(spark, sf_dir):
     """Each page's links resolved against its url."""
-    p = pages(spark, sf_dir)
-    found = nodes.select(p, "a::attr(href)").select("page_id", "ord", "value")
-    return found.join(p.select("page_id", "url"), "page_id").select("page_id", "ord", http.url_join("url", "value").alias("link"))
+    found = nodes.select(pages(spark, sf_dir), "a::attr(href)", "url")
+    return found.select("page_id", "ord", http.url_join("url", "value").alias("link"))
 
 
 @query("select * from (values ('div', 'descendant-or-self::div'), ('*', 'descendant-or-self::*'), ('a::attr(href)', 'descendant-or-self::a/@href'), ('ul > li::text', 'descendant-or-self::ul/li/text()'), ('h1 + p', 'descendant-or-self::h1/following-sibling::p[1]')) as t(css, xpath)")
@@ -208,7 +207,7 @@ def extracted_content(spark, sf_dir):
 @query()
 def cell_numbers(spark, sf_dir):
     """Numbers in table cells, and the first of each page."""
-    cells = materialise(nodes.find_all(node_table(spark, sf_dir), tags=("td",)).select("page_id", "node_id", "own_text"), "cells")
+    cells = materialise(nodes.find_all(node_table(spark, sf_dir, "parent_id", "tag", "own_text"), tags=("td",)).select("page_id", "node_id", "own_text"), "cells")
     numbers = nodes.node_re(cells, r"[0-9]+").groupBy("page_id").agg(F.count("*").alias("numbers"))
     return nodes.node_re_first(cells, r"[0-9]+", "none").join(numbers, "page_id", "left")
 
@@ -297,7 +296,7 @@ def header_lines(spark, sf_dir):
     """Headers written as lines and read again."""
     r = table(spark, sf_dir, "responses")
     lines = F.transform(text.sorted_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-    return r.select("response_id", F.map_from_entries(F.array_sort(F.map_entries(text.parse_pairs(lines, ":")))).alias("headers"))
+    return r.select("response_id", F.map_from_entries(F.array_sort(F.map_entries(text.parse_header_lines(lines)))).alias("headers"))
 
 
 @query(f"select response_id, {SQL_HOST.format('url')} as host, coalesce(nullif({SQL_HOST.format('url')}, ''), 'default') as scope, split_part(url, '#', 1) as bare from responses")
@@ -414,9 +413,9 @@ def blocked_hosts(spark, sf_dir):
 @query(f"select q.request_id, q.enqueue_no, c.status, c.content_base64 is not null as has_content from {SQL_REQUESTS} q left join cached_responses c on lower(c.fingerprint) = q.fp")
 def cache_lookup(spark, sf_dir):
     r = crawl.with_fingerprint(table(spark, sf_dir, "requests")).select("request_id", "enqueue_no", "fingerprint")
-    c = table(spark, sf_dir, "cached_responses").select(F.lower("fingerprint").alias("fingerprint"), "status", F.col("content_base64").isNotNull().alias("has_content"), F.lit(True).alias("hit"))
-    joined = r.join(c, "fingerprint", "left")
-    return joined.select("request_id", "enqueue_no", "status", F.coalesce("has_content", F.lit(False)).alias("has_content"))
+    cache = crawl.ResponseCache(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex[:12]}")
+    cache.put(table(spark, sf_dir, "cached_responses").select(F.lower("fingerprint").alias("fingerprint"), "status", "content_base64"))
+    return cache.get(r).select("request_id", "enqueue_no", "cached.status", F.col("cached.content_base64").isNotNull().alias("has_content"))
 
 
 @query("select request_id, enqueue_no, (['http://a.test', 'http://b.test', 'http://c.test'])[((enqueue_no - 1) % 3 + 1)::int] as proxy from requests")
@@ -426,11 +425,11 @@ def proxy_rotation(spark, sf_dir):
 
 
 @query(
-    """select request_id, enqueue_no, coalesce(upper(session_kwargs::json->>'method'), 'GET') as method, url from requests where url not like '% %'"""
+    """select request_id, enqueue_no, case when url is not null then coalesce(upper(session_kwargs::json->>'method'), 'GET') end as method, url from requests"""
 )
 def curl_commands(spark, sf_dir):
     """Each request written as a command and read again."""
-    r = table(spark, sf_dir, "requests").where(~F.contains("url", F.lit(" ")))
+    r = table(spark, sf_dir, "requests")
     command = F.concat(F.lit("curl -X "), crawl.request_method("session_kwargs"), F.lit(" -H 'Accept: */*' --compressed '"), F.col("url"), F.lit("'"))
     parsed = text.parse_curl(command)
     return r.select("request_id", "enqueue_no", parsed["method"].alias("method"), parsed["url"].alias("url"))
@@ -476,3 +475,9 @@ def windowed_responses(spark, sf_dir):
     from weftline.streaming.frontier import windowed_counts
 
     return windowed_counts(table(spark, sf_dir, "responses"))
+
+
+from weftline.plans import fixtures  # noqa: E402
+
+QUERIES |= fixtures.QUERIES
+ORACLE_SQL |= fixtures.ORACLE_SQL
