@@ -14,6 +14,7 @@ rotating prompts fall away on large sites too.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
@@ -59,7 +60,10 @@ def squeeze(text: str) -> str:
     """References resolved, white space folded and trimmed."""
     if "&" in text:
         text = html.unescape(text)
-    return SPACE.sub(" ", text).strip(" ")
+    text = text.strip(" \t\r\n\f\xa0")
+    if "\n" in text or "  " in text or "\xa0" in text or "\t" in text or "\r" in text or "\f" in text:
+        text = SPACE.sub(" ", text)
+    return text
 
 
 @dataclass
@@ -98,6 +102,10 @@ def page_blocks(source: str, key: tuple = ()) -> Page:
 
     def flush() -> None:
         nonlocal parts, linked, links, link_from
+        if not parts:
+            linked = links = 0
+            link_from = None if link_from is None else 0
+            return
         if link_from is not None:
             linked += len(squeeze("".join(parts[link_from:])))
         text = squeeze("".join(parts))
@@ -189,6 +197,12 @@ def page_owner(page: Page) -> str:
     return FOREIGN.sub("*", "\n".join(parts)) if page.blocks else repr(page.key)
 
 
+@functools.lru_cache(1 << 16)
+def word_count(text: str) -> int:
+    return len(LETTERS.findall(text))
+
+
+@functools.lru_cache(1 << 16)
 def digest(text: str) -> int:
     """A number of 64 bits with sign for a text, the same in every process."""
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
@@ -204,7 +218,7 @@ def line_uses(page: Page, among: set[str] | None = None) -> dict[str, tuple[bool
     """
     out: dict[str, tuple[bool, bool]] = {}
     for b in page.blocks:
-        if b.links or among is not None and b.text not in among or len(LETTERS.findall(b.text)) < ASIDE_WORDS:
+        if b.links or among is not None and b.text not in among or word_count(b.text) < ASIDE_WORDS:
             continue
         beside = not BESIDE.isdisjoint(b.tags)
         item = not beside and not ITEMS.isdisjoint(b.tags)
@@ -215,7 +229,7 @@ def line_uses(page: Page, among: set[str] | None = None) -> dict[str, tuple[bool
 
 def is_long_line(text: str) -> bool:
     """Long enough, and without digits, to be boilerplate by PAGES alone."""
-    return len(LETTERS.findall(text)) >= WORDS and not any(map(str.isdigit, text))
+    return word_count(text) >= WORDS and not any(map(str.isdigit, text))
 
 
 def boilerplate_lines(pages: list[Page], owners_of: list[str]) -> set[int]:
